@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salvora.llm import simhash
+from salvora.llm import licenses, mixing, simhash, topk, url_filter
 from salvora.session import load
 
 
@@ -12,5 +12,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op1_simhash(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash,)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op3_licenses(load(spark, sf_dir, "documents"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op4_topk(load(spark, sf_dir, "embeddings"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op7_url_filter(load(spark, sf_dir, "pages"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op8_mixing(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_licenses, op4_topk, op7_url_filter, op8_mixing)}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.OP3_SQL, "op4_topk": topk.OP4_SQL, "op7_url_filter": url_filter.OP7_SQL, "op8_mixing": mixing.OP8_SQL}
