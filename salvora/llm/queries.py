@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salvora.llm import licenses, mixing, simhash, topk, url_filter
+from salvora.llm import decontamination, licenses, mixing, secrets, simhash, topk, toxicity, url_filter
 from salvora.session import load
 
 
@@ -12,6 +12,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op1_simhash(load(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op2_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op3_licenses(load(spark, sf_dir, "documents"))
 
@@ -28,5 +32,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8_mixing(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_licenses, op4_topk, op7_url_filter, op8_mixing)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.op9_decontamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op10_secrets(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_licenses, op4_topk, op7_url_filter, op8_mixing, op9_decontamination, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.OP3_SQL, "op4_topk": topk.OP4_SQL, "op7_url_filter": url_filter.OP7_SQL, "op8_mixing": mixing.OP8_SQL}
