@@ -13,6 +13,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,20 +144,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHAR
     return docs.sparkSession.createDataFrame([], SCHEMA) if found is None else found
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns; one pass for each block of items."""
-    import pandas as pd
+def _leaks(items: list[tuple[int, str]]):
+    made: list[Matcher] = []  # one for each worker
 
-    for items in item_blocks(benchmark, block_chars):
-        state: dict = {}
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        if not made:
+            made.append(Matcher(items))
+        return pd.Series([bool(made[0].find(t)) for t in texts], dtype=bool)
+
+    return leaks
 
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, items: list = items, state: dict = state) -> pd.Series:
-            if "matcher" not in state:
-                state["matcher"] = Matcher(items)
-            return pd.Series([bool(state["matcher"].find(t)) for t in texts], dtype=bool)
 
-        docs = docs.filter(~leaks(F.col("text").cast("string")))
+def keep_clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns; one pass for each block of items."""
+    for items in item_blocks(benchmark, block_chars):
+        docs = docs.filter(~_leaks(items)(F.col("text").cast("string")))
     return docs
 
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,8 +194,6 @@ def masked(text: str | None, forest: Forest, threshold: float = 0.5, mask: str =
 
 def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, mask: str = MASK) -> DataFrame:
     """docs with every secret in text replaced by mask, and n_chars, where there is such a column, counted anew."""
-    import pandas as pd
-
     forest = forest or default_forest()
 
     @F.pandas_udf("string")

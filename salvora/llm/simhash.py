@@ -123,3 +123,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def op1_simhash(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of documents."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class of near duplicates, with all columns: that of the smallest doc_id, any one if its rows recur. Rows without a doc_id stay."""
+    named = cut(near_duplicates(docs.filter(F.col(doc_id).isNotNull()), doc_id, text))
+    keep = named.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    same = docs[doc_id].cast("bigint") == F.col("__keep")
+    once = docs.join(keep.filter("n = 1").select(F.col("doc_id").alias("__keep")), same, "left_semi")
+    again = docs.join(keep.filter("n > 1").select(F.col("doc_id").alias("__keep")), same, "left_semi").dropDuplicates([doc_id])
+    return once.unionByName(again).unionByName(docs.filter(F.col(doc_id).isNull()))
