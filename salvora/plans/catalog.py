@@ -1,6 +1,357 @@
-"""The registered queries over the input tables, each with its SQL."""
+"""The registered queries over the input tables, each with its SQL.
+
+Every query runs an operator of the engine over whole tables; the SQL says the same in another engine's words.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from salvora.operators import corpus, flow_relational, grids, streams
+from salvora.session import load
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# ------------------------------------------------------------------ corpus analytics
+
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&#[0-9]+;', '', 'g'), '\\-[0-9]+\\-', '', 'g'), '\*\*', '', 'g'), '[\s\x{{00A0}}\x{{3000}}\x{{0000}}-\x{{001F}}\x{{007F}}-\x{{009F}}\x{{2500}}-\x{{259F}}]+', '', 'g')"
+_PLAIN = r"regexp_replace({}, '[\s\x{{00A0}}\x{{3000}}\x{{0000}}-\x{{001F}}\x{{007F}}-\x{{009F}}\x{{2500}}-\x{{259F}}]+', '', 'g')"
+_PAIRS = f"""
+p AS (SELECT d.doc_id, d.lang, {_NORMAL.format('b.text')} AS truth, {_PLAIN.format('d.text')} AS made
+      FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+a AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(truth, '')) AS ch FROM p) WHERE ch <> '' GROUP BY ALL),
+m AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(made, '')) AS ch FROM p) WHERE ch <> '' GROUP BY ALL),
+c AS (SELECT doc_id, sum(a.n) AS total, sum(least(a.n, coalesce(m.n, 0))) AS shared FROM a LEFT JOIN m USING (doc_id, ch) GROUP BY doc_id),
+s AS (SELECT p.doc_id, p.lang, CASE WHEN total IS NULL THEN 1.0 ELSE CAST(shared AS DOUBLE) / CAST(total AS DOUBLE) END AS coverage FROM p LEFT JOIN c USING (doc_id))
+"""
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    docs, bench = load(spark, d, "documents"), load(spark, d, "benchmark")
+    return docs.join(bench.select("item_id", F.col("text").alias("truth")), F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", "lang", "truth", F.col("text").alias("made"))
+
+
+@query(f"WITH {_PAIRS} SELECT doc_id, lang, round(coverage, 9) AS coverage, coverage >= 0.95 AS passed FROM s")
+def coverage_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Q5-Q7: share of the truth's characters that the extracted text has, as multisets."""
+    scored = corpus.coverage(_pairs(spark, d), "doc_id", "truth", "made", normalise=corpus.strip_for_comparison)
+    return _pairs(spark, d).select("doc_id", "lang").join(scored, "doc_id").select("doc_id", "lang", F.round("coverage", 9).alias("coverage"), (F.col("coverage") >= 0.95).alias("passed"))
+
+
+@query(
+    f"""WITH {_PAIRS} SELECT coalesce(lang, '(all)') AS category, count(*) AS files, count(*) FILTER (coverage >= 0.95) AS passed,
+    round(CAST(count(*) FILTER (coverage >= 0.95) AS DOUBLE) / count(*), 9) AS pass_rate, round(avg(coverage), 9) AS mean_coverage
+    FROM s GROUP BY GROUPING SETS ((lang), ())"""
+)
+def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Q8: files, passes and mean coverage by category and over all."""
+    scored = corpus.coverage(_pairs(spark, d), "doc_id", "truth", "made", normalise=corpus.strip_for_comparison)
+    return corpus.summary(_pairs(spark, d).select("doc_id", F.col("lang").alias("category")).join(scored, "doc_id"))
+
+
+@query(f"SELECT doc_id, {_NORMAL.format('text')} AS normal FROM documents")
+def normalized_text(spark: SparkSession, d: str) -> DataFrame:
+    """Q5 without Unicode composition, which SQL lacks."""
+    return load(spark, d, "documents").select("doc_id", corpus.strip_for_comparison(F.col("text"), export=True).alias("normal"))
+
+
+_BARE = r"regexp_replace({0}, '[\p{{Z}}\x09-\x0d\x1c-\x1f]', '', 'g')"
+_LINE = "(length(" + _BARE + ") > 0 AND length(regexp_replace(" + _BARE + r", '[^!-~\x{{3000}}-\x{{30FF}}\x{{31F0}}-\x{{31FF}}\x{{3200}}-\x{{33FF}}\x{{4E00}}-\x{{9FFF}}\x{{FF00}}-\x{{FFEF}}→←↑↓…◎○●◆☆★※]', '', 'g')) * 100 >= 80 * length(" + _BARE + "))"
+
+
+@query(f"SELECT doc_id, count(*) AS lines, count(*) FILTER ({_LINE.format('line')}) AS plausible FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
+def plausible_lines(spark: SparkSession, d: str) -> DataFrame:
+    """lines of which at least 80 % are plausible characters."""
+    lines = load(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(corpus.plausible_line(F.col("line"))).alias("plausible"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+    k AS (SELECT * FROM l WHERE {_LINE.format('line')} QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY i) = 1)
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS salvaged FROM k GROUP BY doc_id"""
+)
+def salvage_text(spark: SparkSession, d: str) -> DataFrame:
+    """Plausible lines of a document, each once, in the order of first sight."""
+    return load(spark, d, "documents").select("doc_id", corpus.salvaged_lines(F.col("text")).alias("salvaged")).filter("salvaged is not null")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
+def manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Digest and length of every text."""
+    return corpus.manifest(load(spark, d, "documents"), "doc_id", "text")
+
+
+@query("SELECT sha256(text) AS payload, count(DISTINCT source) AS containers, count(*) AS files FROM documents GROUP BY 1 HAVING count(DISTINCT source) >= 2")
+def roundtrip_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Q11: equal payloads in at least two containers."""
+    return corpus.roundtrip_groups(load(spark, d, "documents"), F.sha2("text", 256), F.col("source"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id, md5(text) AS digest FROM documents WHERE source <> 'src1'),
+    b AS (SELECT doc_id, md5(lower(text)) AS digest FROM documents WHERE source <> 'src2')
+    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.digest IS DISTINCT FROM b.digest"""
+)
+def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Q10: what differs between two manifests."""
+    docs = load(spark, d, "documents")
+    old = docs.filter("source <> 'src1'").select("doc_id", F.md5("text").alias("digest"))
+    new = docs.filter("source <> 'src2'").select("doc_id", F.md5(F.lower("text")).alias("digest"))
+    return corpus.manifest_diff(old, new, "doc_id", "digest")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def sheet_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Q3: rows without a counterpart."""
+    return load(spark, d, "documents").join(load(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query(
+    """WITH p AS (SELECT d.source, d.doc_id, e.doc_id AS export_id FROM documents d JOIN documents e
+    ON d.source = e.source AND e.lang = 'fr' AND d.lang = 'en' AND (e.doc_id = d.doc_id + 20 OR starts_with(CAST(e.doc_id AS VARCHAR), CAST(d.doc_id AS VARCHAR) || '0')))
+    SELECT * FROM p"""
+)
+def pairing(spark: SparkSession, d: str) -> DataFrame:
+    """Q1: documents and exports of one folder, paired by name or prefix."""
+    docs = load(spark, d, "documents")
+    left = docs.filter("lang = 'en'").select("source", "doc_id")
+    right = docs.filter("lang = 'fr'").select("source", F.col("doc_id").alias("export_id"))
+    by_name = left.join(right, (left.source == right.source) & (right.export_id == left.doc_id + 20)).select(left.source, "doc_id", "export_id")
+    # a prefix is one of few beginnings of the longer name: an equi-join instead of comparing all of a folder
+    heads = right.withColumn("name", F.col("export_id").cast("string")).withColumn("at", F.explode(F.filter(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring("name", i + 1, F.lit(1)) == "0"))).withColumn("head", F.expr("substring(name, 1, at)"))
+    by_prefix = left.join(heads, (left.source == heads.source) & (left.doc_id.cast("string") == heads["head"])).select(left.source, "doc_id", "export_id")
+    return by_name.unionByName(by_prefix).distinct()
+
+
+# ------------------------------------------------------------------ streams as relations
+
+
+@query("SELECT conv_id, string_agg(role || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn) AS combined FROM conversations GROUP BY conv_id")
+def sheet_concat(spark: SparkSession, d: str) -> DataFrame:
+    """Sheets of a document under their names, in order."""
+    return corpus.combined_text(load(spark, d, "conversations"), "conv_id", "turn", F.col("role"), F.trim("text"), "combined")
+
+
+@query(
+    """WITH x AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS label_turn,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT conv_id, turn, label_turn, before = 'user' AS labelled FROM x WHERE role = 'assistant' AND label_turn IS NOT NULL"""
+)
+def label_pairing(spark: SparkSession, d: str) -> DataFrame:
+    """A label goes to the next run."""
+    return streams.pair_labels(load(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "user", F.col("role") == "assistant")
+
+
+@query(
+    """WITH x AS (SELECT user_id, event_id, ts, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS chapter FROM events),
+    y AS (SELECT *, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, chapter ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS section FROM x)
+    SELECT event_id, CAST(chapter AS BIGINT) AS chapter, CAST(section AS BIGINT) AS section, CASE WHEN event_type = 'purchase' THEN '第' || chapter || '章 ' WHEN event_type = 'click' THEN chapter || '.' || section || ' ' END AS prefix FROM y"""
+)
+def numbering(spark: SparkSession, d: str) -> DataFrame:
+    """Chapter and section numbers as running counters that begin anew under each chapter."""
+    return streams.numbered(load(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "purchase", F.col("event_type") == "click", "event_id")
+
+
+@query(
+    """WITH x AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS fresh FROM events),
+    y AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cell FROM x)
+    SELECT user_id, CAST(cell AS BIGINT) AS cell, min(event_type) AS event_type, count(*) AS parts, min(event_id) AS first_event FROM y GROUP BY user_id, cell"""
+)
+def span_coalesce(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours with the same span are one cell."""
+    return flow_relational.coalesce_spans(load(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type"]).groupBy("user_id", "cell").agg(F.min("event_type").alias("event_type"), F.count("*").alias("parts"), F.min("event_id").alias("first_event"))
+
+
+@query(
+    """WITH x AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS row_idx FROM events)
+    SELECT user_id, CAST(row_idx AS BIGINT) AS row_idx, count(*) AS n, bool_or(event_type = 'view') AS closed FROM x GROUP BY user_id, row_idx"""
+)
+def row_segments(spark: SparkSession, d: str) -> DataFrame:
+    """A row ends with its advance."""
+    rows = flow_relational.row_segments(load(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "view")
+    return rows.groupBy("user_id", "row_idx").agg(F.count("*").alias("n"), F.bool_or(F.col("event_type") == "view").alias("closed"))
+
+
+# ------------------------------------------------------------------ table grids
+
+# rows: suppliers of an order are the columns' left edges, line numbers the rows
+_CELLS = "cells AS (SELECT DISTINCT l_orderkey AS tbl, l_linenumber AS row_idx, CAST(l_suppkey % 8 * 10 AS INTEGER) AS lft, CAST(l_suppkey % 8 * 10 + l_quantity AS INTEGER) AS rgt FROM lineitem)"
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    base = (F.col("l_suppkey") % 8 * 10).cast("int")
+    return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("tbl"), F.col("l_linenumber").alias("row_idx"), base.alias("lft"), (base + F.col("l_quantity")).cast("int").alias("rgt")).distinct()
+
+
+@query(f"WITH {_CELLS} SELECT tbl, list_sort(list(DISTINCT lft)) AS grid FROM cells GROUP BY tbl")
+def grid_slots(spark: SparkSession, d: str) -> DataFrame:
+    """The slots of a table are its distinct left edges."""
+    return grids.slots(_cells(spark, d))
+
+
+@query(
+    f"""WITH {_CELLS}, s AS (SELECT DISTINCT tbl, lft AS slot FROM cells), r AS (SELECT DISTINCT tbl, row_idx FROM cells)
+    SELECT tbl, row_idx, slot FROM r JOIN s USING (tbl) WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.tbl = r.tbl AND c.row_idx = r.row_idx AND c.lft <= slot AND slot <= c.rgt)"""
+)
+def grid_padding(spark: SparkSession, d: str) -> DataFrame:
+    """Slots of a row that no cell covers."""
+    return grids.padding(_cells(spark, d))
+
+
+@query(f"WITH {_CELLS}, s AS (SELECT DISTINCT tbl, lft AS slot FROM cells) SELECT c.tbl, row_idx, lft, rgt, greatest(1, count(slot)) AS colspan FROM cells c JOIN s ON s.tbl = c.tbl AND slot BETWEEN lft AND rgt GROUP BY ALL")
+def colspan_cover(spark: SparkSession, d: str) -> DataFrame:
+    """A cell spans the slots from its left to its right edge."""
+    return grids.colspans(_cells(spark, d)).select("tbl", "row_idx", "lft", "rgt", "colspan")
+
+
+@query(
+    f"""WITH {_CELLS}, n AS (SELECT tbl, max(row_idx) + 1 AS past FROM cells GROUP BY tbl), s AS (SELECT DISTINCT tbl, lft AS slot FROM cells),
+    k AS (SELECT DISTINCT c.tbl, c.row_idx, c.lft, c.rgt, slot FROM cells c JOIN s ON s.tbl = c.tbl AND slot BETWEEN c.lft AND c.rgt)
+    SELECT a.tbl, a.row_idx, a.lft, a.rgt, CAST(coalesce(min(b.row_idx), any_value(past)) - a.row_idx AS INTEGER) AS rowspan
+    FROM k a JOIN n USING (tbl) LEFT JOIN k b ON a.tbl = b.tbl AND a.slot = b.slot AND b.row_idx > a.row_idx GROUP BY a.tbl, a.row_idx, a.lft, a.rgt"""
+)
+def rowspan_drop(spark: SparkSession, d: str) -> DataFrame:
+    """A cell reaches down to the next row that covers one of its slots."""
+    return grids.rowspans(_cells(spark, d))
+
+
+@query(
+    f"""WITH {_CELLS}, u AS (SELECT DISTINCT tbl, lft, rgt FROM cells)
+    SELECT a.tbl, a.lft, a.rgt, arg_min(b.lft, (b.rgt - b.lft) * 1000 + b.lft) AS cover_lft, arg_min(b.rgt, (b.rgt - b.lft) * 1000 + b.lft) AS cover_rgt
+    FROM u a JOIN u b ON a.tbl = b.tbl AND b.lft <= a.lft AND a.rgt <= b.rgt AND b.rgt - b.lft > a.rgt - a.lft GROUP BY a.tbl, a.lft, a.rgt"""
+)
+def narrowest_cover(spark: SparkSession, d: str) -> DataFrame:
+    """The narrowest span of the table that strictly holds another."""
+    return grids.narrowest_cover(_cells(spark, d))
+
+
+@query(
+    """WITH x AS (SELECT user_id, value, CASE WHEN value - lag(value) OVER (PARTITION BY user_id ORDER BY value) <= 2.0 THEN 0 ELSE 1 END AS fresh FROM events),
+    y AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY value) AS c FROM x)
+    SELECT user_id, CAST(c AS BIGINT) AS cluster, count(*) AS n, round(avg(value), 6) AS centre FROM y GROUP BY user_id, c"""
+)
+def axis_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Q17: coordinates closer than a tolerance are one axis."""
+    return grids.cluster_axis(load(spark, d, "events"), ["user_id"], "value", 2.0).select("user_id", "cluster", "n", F.round("centre", 6).alias("centre"))
+
+
+@query(
+    """WITH a AS (SELECT user_id, event_type, count(*) AS dots, max(value) - min(value) AS extent, bool_or(value > 90) AS solid FROM events GROUP BY ALL)
+    SELECT user_id, event_type, dots, solid FROM a WHERE solid OR (dots >= 3 AND extent >= 12)"""
+)
+def axis_accept(spark: SparkSession, d: str) -> DataFrame:
+    """Q18: an axis is a solid rule, or at least three dots over a distance."""
+    return grids.accept_axes(load(spark, d, "events"), ["user_id", "event_type"], F.col("value"), F.col("value") > 90)
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT trim(line) AS line, 'left' AS side FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE source = 'src1')),
+    c AS (SELECT DISTINCT trim(line) AS line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE source = 'src2'))
+    SELECT line, 'missing' AS state FROM b WHERE line NOT IN (SELECT line FROM c) AND line <> '' UNION ALL SELECT line, 'extra' FROM c WHERE line NOT IN (SELECT line FROM b) AND line <> ''
+    UNION ALL SELECT line, 'match' FROM b WHERE line IN (SELECT line FROM c) AND line <> ''"""
+)
+def row_anchor_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Q16: rows of two tables, matched, missing and extra."""
+    docs = load(spark, d, "documents")
+    lines = lambda s: docs.filter(F.col("source") == s).select(F.explode(F.split("text", "\n")).alias("line")).select(F.trim("line").alias("line"))
+    return grids.anchor_diff(lines("src1"), lines("src2"), "line")
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY lower(l_returnflag), l_linenumber) AS idx FROM lineitem WHERE l_quantity > 5)
+    SELECT l_orderkey, l_linenumber, CAST(idx AS INTEGER) AS idx FROM r WHERE idx <= 3"""
+)
+def embedded_rank_cap(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted objects are numbered in order, up to a cap."""
+    return streams.rank_cap(load(spark, d, "lineitem").filter("l_quantity > 5"), ["l_orderkey"], [F.lower("l_returnflag"), F.col("l_linenumber")], 3).select("l_orderkey", "l_linenumber", "idx")
+
+
+@query(
+    """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS total FROM lineitem)
+    SELECT l_orderkey, l_linenumber, total, total <= 100 AS granted FROM x"""
+)
+def budget_cutoff(spark: SparkSession, d: str) -> DataFrame:
+    """A document's running total against its budget."""
+    return streams.budget(load(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], F.col("l_quantity"), 100.0).select("l_orderkey", "l_linenumber", "total", "granted")
+
+
+@query(
+    """SELECT page_id, CASE WHEN html = '' THEN 'EMPTY' WHEN starts_with(html, 'METAFILE') THEN 'METAFILE' WHEN instr(substr(html, 1, 512), 'PNG') > 0 THEN 'PNG'
+    WHEN instr(substr(html, 1, 512), 'JFIF') > 0 THEN 'JPEG' WHEN instr(substr(html, 1, 512), 'GIF8') > 0 THEN 'GIF' WHEN instr(substr(html, 1, 512), '%PDF') > 0 THEN 'PDF' ELSE 'UNKNOWN' END AS label FROM pages"""
+)
+def magic_label(spark: SparkSession, d: str) -> DataFrame:
+    """F16 in small: the first magic of a window, by priority."""
+    marks = (("PNG", b"PNG"), ("JPEG", b"JFIF"), ("GIF", b"GIF8"), ("PDF", b"%PDF"))
+    return load(spark, d, "pages").select("page_id", corpus.first_magic(F.encode("html", "UTF-8"), marks).alias("label"))
+
+
+@query(
+    """SELECT page_id, CAST(len(regexp_extract_all(html, '<p[ >]')) AS BIGINT) AS p, CAST(len(regexp_extract_all(html, '<table[ >]')) AS BIGINT) AS tables, CAST(len(regexp_extract_all(html, '<t[dh][ >]')) AS BIGINT) AS cells,
+    CAST(len(regexp_extract_all(html, '<br ?/?>')) AS BIGINT) AS br, CAST(len(regexp_extract_all(html, 'colspan=')) AS BIGINT) AS colspans, CAST(len(regexp_extract_all(html, 'rowspan=')) AS BIGINT) AS rowspans FROM pages"""
+)
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Q12: the skeleton of a page in counts."""
+    return corpus.skeleton(load(spark, d, "pages"), "page_id", "html")
+
+
+@query(
+    """SELECT l_orderkey, '| ' || string_agg(l_linenumber || ' | ' || l_returnflag, ' |' || chr(10) || '| ' ORDER BY l_linenumber, l_returnflag) || ' |' AS pipe FROM lineitem GROUP BY l_orderkey"""
+)
+def pipe_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a table as a pipe table."""
+    return corpus.pipe_table(load(spark, d, "lineitem"), "l_orderkey", "l_linenumber", [F.col("l_linenumber").cast("string"), F.col("l_returnflag")], "pipe")
+
+
+@query(
+    """WITH x AS (SELECT l_orderkey AS tbl, list(CAST(l_quantity AS INTEGER) ORDER BY l_linenumber, l_quantity) AS w FROM lineitem GROUP BY l_orderkey)
+    SELECT tbl, w[len(w) // 2 + 1] AS width FROM x WHERE len(w) >= 3"""
+)
+def band_widths(spark: SparkSession, d: str) -> DataFrame:
+    """Q14: the width of the middle span of rows with at least three."""
+    rows = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("tbl")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("w")))).alias("spans"))
+    return grids.band_widths(rows)
+
+
+@query(
+    """WITH x AS (SELECT page_id, list_aggregate(list_sort(regexp_extract_all(html, '<([a-z0-9]+)', 1)), 'string_agg', ',') AS f FROM pages)
+    SELECT page_id, min(page_id) OVER (PARTITION BY f) AS class_id FROM x"""
+)
+def skeleton_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Q13: pages whose counts of tags are equal."""
+    return corpus.same_skeleton(load(spark, d, "pages"), "page_id", "html")
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '[.](html?|xml)$') AND instr(html, '<!DOCTYPE') > 0 THEN 'text/html' WHEN instr(html, '<html') > 0 THEN 'application/xhtml' ELSE 'application/octet-stream' END AS type FROM pages")
+def sniffed_type(spark: SparkSession, d: str) -> DataFrame:
+    """type by name and by magic."""
+    html = F.col("html")
+    return load(spark, d, "pages").select("page_id", F.when(F.col("url").rlike("[.](html?|xml)$") & (F.instr(html, "<!DOCTYPE") > 0), "text/html").when(F.instr(html, "<html") > 0, "application/xhtml").otherwise("application/octet-stream").alias("type"))
+
+
+@query("SELECT source AS category FROM documents GROUP BY source HAVING bool_or(lang = 'en') AND bool_or(lang = 'de')")
+def category_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """Folders that hold both kinds of files."""
+    return corpus.discover_categories(load(spark, d, "documents"), F.col("source"), F.col("lang") == "en", F.col("lang") == "de")
+
+
+@query("SELECT user_id, list(event_type ORDER BY event_id) AS path, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id")
+def event_paths(spark: SparkSession, d: str) -> DataFrame:
+    """M8: the events of a document in order, nested."""
+    return load(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda e: e["event_type"]).alias("path"), F.count("*").alias("n"))
