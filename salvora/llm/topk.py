@@ -98,7 +98,7 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, scale:
     candidates = rows.withColumn("block", deal(columns, 1)).withColumn("lane", every(lanes))
     queries = rows.filter(F.col("vec_id") % query_every == 0).withColumn("lane", deal(lanes, 2)).withColumn("block", every(columns))
 
-    def run(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
         for size, group in x.groupby(x["v"].map(len)):
             same = q[q["v"].map(len) == size]
