@@ -67,7 +67,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
     plan = plan.alias("p").join(edge.alias("e"), same("p", "e"), "left").select("p.*", F.coalesce("edge", F.lit("g")).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"))
     parts = rows.alias("r").join(plan.alias("p"), same("r", "p")).select("r.*", "p.source_size", "p.weight", "p.target", "p.whole", "p.rest", "p.edge", "p.before")
     settled = parts.filter("range <> edge").withColumn("extra", F.when(F.col("range") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
-    order = Window.partitionBy("source").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # by range too, so that the join by source above stays free to split a hot source
+    order = Window.partitionBy("source", "range").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1)
     run_out = parts.filter("range = edge").withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
     taken = settled.unionByName(run_out)
     return taken.select("doc_id", "source", "size", "source_size", "weight", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("bigint").alias("taken"))
