@@ -1,0 +1,52 @@
+"""Tables of HTML pages as rows of (text, rowspan, colspan), and their row anchors."""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+
+
+class _Tables(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.rows: list[list[tuple[str, int, int]]] = []
+        self.text: list[str] | None = None
+        self.spans = (1, 1)
+
+    def _close(self) -> None:
+        if self.text is not None and self.rows:
+            self.rows[-1].append(("".join(self.text), *self.spans))
+        self.text = None
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "tr":
+            self._close()
+            self.rows.append([])
+        elif tag in ("td", "th") and self.rows:
+            self._close()
+            given = dict(attrs)
+            number = lambda name: int(given[name]) if (given.get(name) or "").isdigit() else 1
+            self.text, self.spans = [], (number("rowspan"), number("colspan"))
+        elif tag == "br" and self.text is not None:
+            self.text.append("\n")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("td", "th", "tr", "table"):
+            self._close()
+
+    def handle_data(self, data: str) -> None:
+        if self.text is not None:
+            self.text.append(data)
+
+
+def tables(html: str | None) -> list[list[tuple[str, int, int]]]:
+    """Rows of all tables of a page, in order."""
+    parser = _Tables()
+    parser.feed(html or "")
+    parser.close()
+    parser._close()
+    return parser.rows
+
+
+def anchor(row: list[tuple[str, int, int]]) -> str:
+    """What a row is known by in comparisons: its cells' texts without white space."""
+    return "|".join("".join(text.split()) for text, *_ in row)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Unicode white space, as the engine understands it everywhere; Spark's trim knows only the ASCII space.
 SPACE = r"[\p{Z}\x09-\x0d\x1c-\x1f]"
@@ -34,7 +35,7 @@ def strip_for_comparison(text: Column, export: bool = False) -> Column:
     return F.regexp_replace(text, IGNORED, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode NFKC, which SQL has no function for."""
     return texts.str.normalize("NFKC")
