@@ -86,7 +86,7 @@ def threshold(scores: DataFrame) -> DataFrame:
     steps = scores.groupBy(F.floor(F.col("score") * STEPS).alias("step")).agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     # scores lie between the logs of the least and the largest ratio, so the steps are few and fixed in number
     every = steps.agg(F.collect_list(F.struct("step", "g", "b")).alias("all"), F.sum("g").alias("sg"), F.sum("b").alias("sb"))
-    gain = lambda edge: F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.when(x["step"] >= edge["step"], x["g"] / F.col("sg")).otherwise(F.lit(0.0)) + F.when(x["step"] < edge["step"], x["b"] / F.col("sb")).otherwise(F.lit(0.0)))
+    gain = lambda edge: F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.when(x["step"] >= edge["step"], F.try_divide(x["g"], F.col("sg"))).otherwise(F.lit(0.0)) + F.when(x["step"] < edge["step"], F.try_divide(x["b"], F.col("sb"))).otherwise(F.lit(0.0)))
     tried = every.select("sg", "sb", F.transform("all", lambda e: F.struct(F.round(gain(e), 9).alias("gain"), e["step"].alias("step"))).alias("tried"))
     best = F.array_max("tried")
     tied = F.filter("tried", lambda x: x["gain"] == best["gain"])
