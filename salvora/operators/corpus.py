@@ -27,6 +27,12 @@ def is_blank(text: Column) -> Column:
     return F.regexp_like(text, F.lit(f"^{SPACE}*$"))
 
 
+def trim_tail(text: Column) -> Column:
+    """Without a tail of white space and end marks, if there is an end mark in it."""
+    mark = r"\x{0400}\x{0490}\x{FE14}"
+    return F.regexp_replace(text, f"{SPACE}*[{mark}]({SPACE}|[{mark}])*\\z", "")
+
+
 def strip_for_comparison(text: Column, export: bool = False) -> Column:
     """A text without the characters that comparisons ignore; export: also without marks that a word processor's export adds. Compose with nfkc() where full-width forms matter."""
     if export:
@@ -78,6 +84,14 @@ def salvaged_lines(text: Column) -> Column:
     return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
 
 
+def category_folder(name: str, corpus: str, root: str, exists: Callable[[str], bool]) -> str | None:
+    """The first folder that exists of a category's path: as it is, below the corpus, below the root, below the root's parent."""
+    import posixpath
+
+    tried = [name] if name.startswith("/") else [posixpath.normpath(posixpath.join(base, name)) for base in (corpus, root, posixpath.dirname(root.rstrip("/")))]
+    return next((t for t in tried if exists(t)), None)
+
+
 def manifest(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.sha2(F.col(text), 256).alias("sha256"), F.octet_length(text).cast("bigint").alias("bytes"))
 

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salvora.operators import corpus, flow_relational, grids, streams
+from salvora.plans import samples
 from salvora.session import load
+from salvora.sources import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -355,3 +357,71 @@ def category_discovery(spark: SparkSession, d: str) -> DataFrame:
 def event_paths(spark: SparkSession, d: str) -> DataFrame:
     """M8: the events of a document in order, nested."""
     return load(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda e: e["event_type"]).alias("path"), F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ bytes
+
+
+@query("SELECT doc_id, text FROM documents")
+def body_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every text through a body stream and the token machine."""
+    bodies = load(spark, d, "documents").select("doc_id", samples.text_stream(F.col("text")).alias("content"))
+    runs = documents.elements(bodies).filter("kind in ('run', 'inline')").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda e: e["text"]), "").alias("text"))
+    return runs.select(F.col("doc_id").cast("bigint").alias("doc_id"), corpus.trim_tail(F.col("text")).alias("text"))
+
+
+@query(
+    """SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) - 1 AS INTEGER) AS row_idx, l_returnflag AS head, l_linestatus || '行' AS tail, 1 AS colspan, 1 AS rowspan FROM lineitem"""
+)
+def flow_tables(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of rows for every order, through events, assembly and geometry."""
+    line = samples.row_hex([(8, 40, F.col("l_returnflag")), (41, 80, F.concat("l_linestatus", F.lit("行")))])
+    rows = load(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_returnflag", "l_linestatus", line.alias("line")).alias("r"))
+    bodies = rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.unhex(F.concat(F.lit(samples.MAGIC_HEX), F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["line"]), ""))).alias("content"))
+    cells = documents.cells(bodies).filter("kind = 'table'")
+    put = lambda i: F.max(F.when(F.col("cell_idx") == i, F.col("text")))
+    return cells.groupBy(F.col("doc_id").cast("bigint").alias("l_orderkey"), "row_idx").agg(put(0).alias("head"), put(1).alias("tail"), F.max("colspan").alias("colspan"), F.max("rowspan").alias("rowspan"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('a-plain', 'cfb-document-text', 'ok', NULL, '/DocumentText', '銀河鉄道の夜'), ('b-packed', 'cfb-just-compressed-document', 'ok', NULL, '/DocumentText', '銀河鉄道の夜'),
+    ('c-table', 'cfb-document-text', 'ok', NULL, '/DocumentText', '銀河帯けぶった天上白い野原'), ('d-numbers', 'cfb-document-text', 'ok', NULL, '/DocumentText', '第1章 項1.1 項(1) 項(2) 項① 項'),
+    ('e-objects', 'cfb-document-text', 'ok', NULL, '/DocumentText', 'x'), ('f-broken', 'unknown', 'error', 'Unsupported', NULL, ''), ('g-loose', 'cfb-embedded-document-text', 'ok', NULL, '/EmbeddedDocumentText', 'こぼれた本文'))
+    v(doc_id, format, status, error_kind, source, text)"""
+)
+def decoded_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of each format."""
+    return documents.documents(samples.files(spark)).select("doc_id", "format", "status", "error_kind", "source", "text")
+
+
+@query(
+    """SELECT 'c-table' AS doc_id, '<table><tbody><tr><td>銀河帯</td><td>けぶった</td></tr><tr><td colspan="2">天上</td></tr><tr><td>白い</td><td>野原</td></tr></tbody></table>' || chr(10) || chr(10) || '<p>注</p>' AS xhtml,
+    '| 銀河帯 | けぶった |' || chr(10) || '| --- | --- |' || chr(10) || '| 天上 |' || chr(10) || '| 白い | 野原 |' || chr(10) || chr(10) || '注' AS markdown"""
+)
+def rendered_table(spark: SparkSession, d: str) -> DataFrame:
+    """A document as XHTML and Markdown."""
+    return documents.documents(samples.files(spark).filter("doc_id = 'c-table'")).select("doc_id", "xhtml", "markdown")
+
+
+@query(
+    """SELECT * FROM (VALUES ('a-plain', 'DOC', '/DocumentText'), ('b-packed', 'DOC', '/JSCompDocument'), ('c-table', 'DOC', '/DocumentText'), ('c-table', 'DOC', '/Footnote'), ('d-numbers', 'DOC', '/DocumentText'),
+    ('e-objects', 'DIR', '/Box'), ('e-objects', 'DIR', '/Box/Embedding 1'), ('e-objects', 'DOC', '/Box/Embedding 1/Contents'), ('e-objects', 'DOC', '/Box/Embedding 1/Workbook'), ('e-objects', 'DOC', '/Box/Notes'), ('e-objects', 'DOC', '/DocumentText'), ('g-loose', 'DOC', '/other')) v(doc_id, kind, path)"""
+)
+def container_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of each container."""
+    return documents.entries(samples.files(spark)).filter("error is null").select("doc_id", "kind", "path")
+
+
+@query("SELECT * FROM (VALUES ('e-objects', 1, 'embedded-1.xls', 'application/vnd.ms-excel', '/Box/Embedding 1/Workbook'), ('e-objects', 2, 'embedded-2.gif', 'image/gif', '/Box/Embedding 1/Contents')) v(doc_id, idx, name, content_type, rel_path)")
+def embedded_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of a document, numbered."""
+    return documents.objects(samples.files(spark)).drop("payload")
+
+
+@query(
+    """SELECT doc_id, path, replace(replace(path, '/', '_'), ' ', '_') AS file, magic FROM (VALUES ('e-objects', '/Box/Embedding 1/Contents', 'GIF'), ('e-objects', '/Box/Embedding 1/Workbook', 'UNKNOWN'), ('e-objects', '/Box/Notes', 'UNKNOWN'), ('e-objects', '/DocumentText', 'UNKNOWN')) v(doc_id, path, magic)"""
+)
+def stream_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Streams with file names and magics."""
+    found = documents.streams(samples.files(spark).filter("doc_id = 'e-objects'"))
+    return found.select("doc_id", F.col("stream_path").alias("path"), documents.file_name(F.col("stream_path")).alias("file"), documents.stream_magic(F.col("content")).alias("magic"))

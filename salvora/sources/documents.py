@@ -21,6 +21,8 @@ from salvora.functions.limits import Limits
 from salvora.functions.tables import assemble
 from salvora.sources.compound import CompoundFile
 
+# The type of these files and its other names.
+CONTENT_TYPE, ALIASES = "application/vnd.justsystems.ichitaro", ("application/x-jtd", "application/x-ichitaro-jtd", "application/jtd")
 SUFFIXES = ("jtd", "jtt", "jttc")
 DOCUMENTS = "doc_id string, format string, status string, error_kind string, error_message string, limit_resource string, limit_value bigint, limit_actual bigint, source string, text string, header array<string>, boxes array<string>, notes string, sheets array<string>, n_objects int, combined string, xhtml string, markdown string"
 STREAMS = "doc_id string, ord int, stream_path string, size bigint, content binary, error string"
@@ -129,6 +131,21 @@ def objects(files: DataFrame) -> DataFrame:
     return _decoded(files, OBJECTS, rows, 1)
 
 
+def object_texts(found: DataFrame, parsers: dict[str, Callable[[bytes], str]]) -> DataFrame:
+    """(doc_id, idx, text) of objects whose content type has a parser; a parser that fails gives a null text and leaves the rest as it is."""
+
+    def rows(_: str, data: bytes) -> list[tuple]:
+        kind, idx, payload = data.split(b"\0", 2)
+        try:
+            return [(int(idx), parsers[kind.decode()](payload))]
+        except Exception:  # noqa: BLE001  whatever a foreign parser raises
+            return [(int(idx), None)]
+
+    chosen = found.filter(F.col("content_type").isin(list(parsers)))
+    joined = F.concat(F.encode("content_type", "UTF-8"), F.lit(b"\0"), F.encode(F.col("idx").cast("string"), "UTF-8"), F.lit(b"\0"), F.col("payload"))
+    return _decoded(chosen.select("doc_id", joined.alias("content")), "doc_id string, idx int, text string", rows)
+
+
 def bodies(all_streams: DataFrame) -> DataFrame:
     """The body streams of a streams table."""
     return all_streams.filter(F.col("stream_path") == BODY).select("doc_id", "content")
@@ -172,7 +189,7 @@ def sniffed(path: Column, content: Column) -> Column:
     compound = F.startswith(content, F.lit(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"))
     marked = F.position(F.lit(words.BODY_MAGIC), F.substring(content, 513, 65536 - 512 + len(words.BODY_MAGIC))) > 0
     kind = F.regexp_extract(path, r"(?i)\.(jtd|jtt|jttc)$", 1)
-    return F.when(compound & (marked | (kind != "")), F.lit("application/vnd.justsystems.ichitaro")).otherwise(F.lit("application/octet-stream"))
+    return F.when(compound & (marked | (kind != "")), F.lit(CONTENT_TYPE)).otherwise(F.lit("application/octet-stream"))
 
 
 def register(spark: SparkSession) -> None:
