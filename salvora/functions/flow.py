@@ -91,6 +91,7 @@ def _events(data: bytes) -> list[Event]:
         if head is not None:
             out.append(Event("Text", text=head))
     limit, numbers, held = w.word_limit(data, s), w.Numbering(), []
+    regions = w.Regions(s, limit)
     reading, at = False, 0
 
     def flush() -> None:
@@ -110,7 +111,7 @@ def _events(data: bytes) -> list[Event]:
             continue
         c = s[at]
         if "\ufe00" <= c <= "\ufe0f":
-            on = w.resume_after_region(s, at, limit)
+            on = regions.after(at)
             if on is None:
                 held.append(c)
             at = at + 1 if on is None else on

@@ -106,10 +106,17 @@ def prologue(data: bytes, words: str) -> str | None:
     return head[0] if head else None
 
 
-def resume_after_region(words: str, at: int, limit: int) -> int | None:
-    """Where text goes on behind a rule region that begins at `at`: at two visible words in a row."""
-    found = TWO_VISIBLE.search(words, at + 1, min(at + MAX_REGION, limit, len(words)))
-    return found.start() if found else None
+class Regions:
+    """Where text goes on behind rule regions: at two visible words in a row, which are looked for once."""
+
+    def __init__(self, words: str, limit: int):
+        self.words, self.limit, self.pair = words, min(limit, len(words)), -1
+
+    def after(self, at: int) -> int | None:
+        if self.pair <= at:
+            found = TWO_VISIBLE.search(self.words, at + 1, self.limit)
+            self.pair = found.start() if found else self.limit
+        return self.pair if self.pair + 2 <= min(at + MAX_REGION, self.limit) else None
 
 
 def record_before(words: str, at: int) -> str | None:
@@ -183,12 +190,13 @@ def _argument(record: str, code: str) -> int | None:
     return ord(record[at + 2]) if at >= 0 else None
 
 
-def inline_end(words: str, at: int) -> tuple[str, int, bool]:
-    """Text of the inline that begins at words[at], where reading goes on, and whether it was closed."""
-    end = words.find(INLINE_END, at + 1)
-    closed = end >= 0
-    stop = end if closed else len(words)
-    return NOT_TEXT.sub("", words[at + 1 : stop]), stop + closed, closed
+def inline_end(words: str, at: int, most: int | None = None) -> tuple[str, int, bool]:
+    """Text of the inline that begins at words[at], where reading goes on, and whether it was closed, within `most` words if given."""
+    end = words.find(INLINE_END, at + 1, len(words) if most is None else at + most + 1)
+    if end < 0 and most is not None:
+        return "", at + 1, False
+    stop = end if end >= 0 else len(words)
+    return NOT_TEXT.sub("", words[at + 1 : stop]), stop + (end >= 0), end >= 0
 
 
 def elements(data: bytes) -> list[Element]:
@@ -202,6 +210,7 @@ def elements(data: bytes) -> list[Element]:
     if head is not None:
         out.append(Element("run", head))
     numbers, limit, run = Numbering(), word_limit(data, words), []
+    regions = Regions(words, limit)
     prose, reading, at = head is not None, False, 0
 
     def close() -> None:
@@ -228,12 +237,12 @@ def elements(data: bytes) -> list[Element]:
             before = words[max(0, at - 6) : at]
             shown = SHOWN.search(before)
             hidden = not shown and (before[-1:] == RECORD or HIDDEN.search(before))
-            text, stop, closed = inline_end(words, at) if shown or hidden else ("", at + 1, False)
+            text, stop, closed = inline_end(words, at, None if shown else MAX_SKIPPED) if shown or hidden else ("", at + 1, False)
             if shown:
                 if text:
                     out.append(Element("inline", text, ord(before[-1])))
                 prose = True
-            elif hidden and closed and stop - 1 - at <= MAX_SKIPPED:
+            elif hidden and closed:
                 out.append(Element("skipped", text, ord(before[-1]), bytes_of(before + words[at:stop])))
             else:
                 out.append(Element("boundary", code=0x1D))
@@ -243,7 +252,7 @@ def elements(data: bytes) -> list[Element]:
             run.append(plain.group())
             prose, at = True, plain.end()
         elif "\ufe00" <= c <= "\ufe0f":
-            on = resume_after_region(words, at, limit)
+            on = regions.after(at)
             if on is None:
                 run.append(c)
                 prose, on = True, at + 1

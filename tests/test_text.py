@@ -107,3 +107,13 @@ def test_sheet_streams():
     assert root_name(bytes(16) + len(name).to_bytes(4, "little") + name.encode("utf-16-le")) == name
     path = "C:\\a.jtd"
     assert item_paths(b"\0\0" + len(path).to_bytes(4, "little") + path.encode("utf-16-le")) == [path]
+
+
+def test_odd_streams_take_linear_time():
+    import time
+
+    began = time.time()
+    for data in (body(0x1F, "字", *[[0x1C, 0x1D, "x"]] * 20_000), body(0x1F, "字", *[0xFE01] * 100_000), body(0x1F, "字", *[[0xFE01, 3, 0x1F]] * 20_000), body(*[[0x1F, "字"]] * 20_000), body(*[[0x1C, 0x30, 9]] * 20_000)):
+        w.elements(data)
+        flow.events(data)
+    assert time.time() - began < 20
