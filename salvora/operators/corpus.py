@@ -13,8 +13,8 @@ from pyspark.sql.types import StringType
 SPACE = r"[\p{Z}\x09-\x0d\x1c-\x1f]"
 #: Characters that do not count in comparisons: white space, controls, rules and boxes.
 IGNORED = r"[\s\x{00A0}\x{3000}\x{0000}-\x{001F}\x{007F}-\x{009F}\x{2500}-\x{259F}]+"
-# The characters that salvaged text may have, as a class.
-PLAUSIBLE = r"!-~\x{3000}-\x{30FF}\x{31F0}-\x{31FF}\x{3200}-\x{33FF}\x{4E00}-\x{9FFF}\x{FF00}-\x{FFEF}→←↑↓…◎○●◆☆★※"
+# The characters that salvaged text may have, as a class, but for the white space among them.
+PLAUSIBLE = r"!-~\x{3001}-\x{30FF}\x{31F0}-\x{31FF}\x{3200}-\x{33FF}\x{4E00}-\x{9FFF}\x{FF00}-\x{FFEF}→←↑↓…◎○●◆☆★※"
 PASS_AT = 0.95
 
 
@@ -57,11 +57,11 @@ def coverage_of(truth: Column, made: Column) -> Column:
     return F.when(F.length(truth) == 0, F.lit(1.0)).otherwise(shared.cast("double") / F.length(truth).cast("double"))
 
 
-def coverage(pairs: DataFrame, key: str, truth: str, made: str, normalise: Callable[..., Column] = strip_for_comparison) -> DataFrame:
-    """(key, coverage) for every pair; the truth is normalised as an export. Null texts count as empty."""
+def coverage(pairs: DataFrame, key: str, truth: str, made: str, normalise: Callable[..., Column] = strip_for_comparison, keep: tuple = ()) -> DataFrame:
+    """(key, *keep, coverage) for every pair; the truth is normalised as an export. Null texts count as empty."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    ready = pairs.select(key, normalise(text(truth), export=True).alias("truth"), normalise(text(made)).alias("made"))
-    return ready.select(key, coverage_of(F.col("truth"), F.col("made")).alias("coverage"))
+    ready = pairs.select(key, *keep, normalise(text(truth), export=True).alias("truth"), normalise(text(made)).alias("made"))
+    return ready.select(key, *keep, coverage_of(F.col("truth"), F.col("made")).alias("coverage"))
 
 
 def summary(scored: DataFrame, total: str = "(all)", pass_at: float = PASS_AT) -> DataFrame:
@@ -72,10 +72,10 @@ def summary(scored: DataFrame, total: str = "(all)", pass_at: float = PASS_AT) -
 
 
 def plausible_line(line: Column) -> Column:
-    """At least 80 % of the characters other than white space are plausible, and there is one."""
-    bare = F.regexp_replace(line, SPACE, "")
-    good = F.length(F.regexp_replace(bare, f"[^{PLAUSIBLE}]", ""))
-    return (F.length(bare) > 0) & (good * 100 >= F.length(bare) * 80)
+    """At least 80 % of the characters other than white space are plausible, and there is one. Each length is taken once."""
+    good = F.length(F.regexp_replace(line, f"[^{PLAUSIBLE}]+", ""))
+    bare = F.length(F.regexp_replace(line, f"{SPACE}+", ""))
+    return good * 100 >= F.greatest(bare * 80, F.lit(1))
 
 
 def salvaged_lines(text: Column) -> Column:

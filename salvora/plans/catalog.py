@@ -51,8 +51,8 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_PAIRS} SELECT doc_id, lang, round(coverage, 9) AS coverage, coverage >= 0.95 AS passed FROM s")
 def coverage_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Q5-Q7: share of the truth's characters that the extracted text has, as multisets."""
-    scored = corpus.coverage(_pairs(spark, d), "doc_id", "truth", "made", normalise=corpus.strip_for_comparison)
-    return _pairs(spark, d).select("doc_id", "lang").join(scored, "doc_id").select("doc_id", "lang", F.round("coverage", 9).alias("coverage"), (F.col("coverage") >= 0.95).alias("passed"))
+    scored = corpus.coverage(_pairs(spark, d), "doc_id", "truth", "made", keep=("lang",))
+    return scored.select("doc_id", "lang", F.round("coverage", 9).alias("coverage"), (F.col("coverage") >= 0.95).alias("passed"))
 
 
 @query(
@@ -62,8 +62,8 @@ def coverage_pairs(spark: SparkSession, d: str) -> DataFrame:
 )
 def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     """Q8: files, passes and mean coverage by category and over all."""
-    scored = corpus.coverage(_pairs(spark, d), "doc_id", "truth", "made", normalise=corpus.strip_for_comparison)
-    return corpus.summary(_pairs(spark, d).select("doc_id", F.col("lang").alias("category")).join(scored, "doc_id"))
+    scored = corpus.coverage(_pairs(spark, d), "doc_id", "truth", "made", keep=("lang",))
+    return corpus.summary(scored.withColumnRenamed("lang", "category"))
 
 
 @query(f"SELECT doc_id, {_NORMAL.format('text')} AS normal FROM documents")
