@@ -146,7 +146,7 @@ def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACK
     frequent = unigrams.filter(F.col("n") * HEAVY >= total).collect()  # at most HEAVY rows, as n / total sums to one
     heavy = Heavy({int(r.h) % 2**64: r.n for r in frequent})
     spark = docs.sparkSession
-    buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_PAIRS))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_PAIRS))
     log_total, log_backoff = float(np.log(max(total, 1))), float(np.log(backoff))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,20 +204,26 @@ def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACK
         counts = second != END
         return [x[counts] for x in (place, value, rare & (first != START), rare & ~known2, second)]
 
+    def to_docs(chunks: np.ndarray, which: np.ndarray, idx: np.ndarray, score: np.ndarray, backs: np.ndarray) -> pd.DataFrame:
+        """Sums for documents, packed by where their chunks' documents meet; one row for each such place."""
+        place = (_mix(chunks.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[which]
+        order = np.argsort(place, kind="stable")
+        place, which, idx, score, backs = place[order], which[order], idx[order], score[order], backs[order]
+        cuts, rows = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else [], []
+        for a, b in zip(cuts, [*cuts[1:], len(place)]):
+            own, at = np.unique(which[a:b], return_inverse=True)
+            rows.append((int(place[a]), False, pack(chunks[own].astype("<i8"), at.astype("<u4"), idx[a:b].astype("<u2"), score[a:b].astype("<f8"), backs[a:b].astype("<u4"))))
+        return pd.DataFrame(rows, columns=["place", "names", "packed"])
+
     def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = ["chunk", "idx", "score", "backs", "doc_id", "n_words"]
+        chunks = pdf["chunk"].to_numpy("<i8")
         if key[0] < 0:
-            rows = []
-            for chunk, blob in zip(pdf["chunk"], pdf["pairs"]):
-                ids, null, sizes = unpack(blob, "<i8", "<u1", "<i8")
-                rows.append(pd.DataFrame({"chunk": chunk, "idx": np.arange(len(ids), dtype=np.int32), "score": 0.0, "backs": np.int64(0), "doc_id": pd.array(np.where(null == 1, 0, ids), "Int64"), "n_words": pd.array(sizes, "Int64")}))
-                rows[-1].loc[null == 1, "doc_id"] = pd.NA
-            return pd.concat(rows)[columns]
+            places = _mix(chunks.view(np.uint64)) % np.uint64(buckets)
+            rows = [(int(p), True, pack(np.array([c]), *unpack(blob, "<i8", "<u1", "<i8"))) for p, c, blob in zip(places, chunks, pdf["pairs"])]
+            return pd.DataFrame(rows, columns=["place", "names", "packed"])
         place, value, backs, waits, _ = counted(pdf)
         docs_at, score, n = _sum_by(place, np.where(waits, 0.0, value), backs)
-        chunks = pdf["chunk"].to_numpy()
-        out = pd.DataFrame({"chunk": chunks[docs_at >> 16], "idx": (docs_at & 0xFFFF).astype(np.int32), "score": score, "backs": n.astype(np.int64)})
-        return out.assign(doc_id=pd.array([pd.NA] * len(out), "Int64"), n_words=pd.array([pd.NA] * len(out), "Int64"))[columns]
+        return to_docs(chunks, docs_at >> 16, docs_at & 0xFFFF, score, n)
 
     def waiting(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -242,19 +248,40 @@ def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACK
             chunks, which, idx, second = unpack(blob, "<i8", "<u4", "<u2", "<u8")
             value = log_backoff + _log(counts[np.searchsorted(hashes, second.view(np.int64))]) - log_total
             at, score = _sum_by(which.astype(np.int64) << 16 | idx, value)
-            out.append(pd.DataFrame({"chunk": chunks[at >> 16], "idx": (at & 0xFFFF).astype(np.int32), "score": score}))
-        return pd.concat(out).groupby(["chunk", "idx"], as_index=False)["score"].sum() if out else pd.DataFrame({"chunk": [], "idx": [], "score": []})
+            out.append((chunks, at >> 16, at & 0xFFFF, score))
+        if not out:
+            return pd.DataFrame({"place": [], "names": [], "packed": []})
+        shift = np.cumsum([0, *(len(c) for c, *_ in out)])
+        chunks, own = np.unique(np.concatenate([c for c, *_ in out]), return_inverse=True)
+        which = own[np.concatenate([w + k for (_, w, *_), k in zip(out, shift)])]
+        at, score = _sum_by(which.astype(np.int64) << 16 | np.concatenate([i for *_, i, _ in out]), np.concatenate([v for *_, v in out]))
+        return to_docs(chunks, at >> 16, at & 0xFFFF, score, np.zeros(len(at)))
+
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The rows of the documents that meet in one place."""
+        named = [unpack(b, "<i8", "<i8", "<u1", "<i8") for b in pdf["packed"][pdf["names"]]]
+        named.sort(key=lambda x: int(x[0][0]))
+        chunks = np.array([int(x[0][0]) for x in named], dtype=np.int64)
+        first = np.cumsum([0, *(len(x[1]) for x in named)])
+        score, backs = np.zeros(first[-1]), np.zeros(first[-1])
+        for blob in pdf["packed"][~pdf["names"]]:
+            own, which, idx, s, n = unpack(blob, "<i8", "<u4", "<u2", "<f8", "<u4")
+            at = first[np.searchsorted(chunks, own)][which] + idx
+            score[at] += s  # a document comes once in a blob
+            backs[at] += n
+        ids, null, sizes = (np.concatenate([x[k] for x in named]) for k in (1, 2, 3))
+        doc_id = pd.Series(pd.array(ids, "Int64")).mask(null == 1)
+        # a first word has no backoff weight
+        return pd.DataFrame({"doc_id": doc_id, "n_words": sizes, "n_backoff": backs.astype(np.int64), "log_score": np.where(sizes > 0, score - log_backoff, np.nan)})
 
     by_bucket = dealt.groupBy("bucket")
-    own = by_bucket.applyInPandas(sums, "chunk bigint, idx int, score double, backs bigint, doc_id bigint, n_words bigint")
+    packed = "place bigint, names boolean, packed binary"
+    own = by_bucket.applyInPandas(sums, packed)
     wait = by_bucket.applyInPandas(waiting, "bucket bigint, words binary")
     table = unigrams.select(F.col("h").alias("u"), "n", F.pmod("h", F.lit(buckets)).alias("bucket"))
-    late = wait.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(joined, "chunk bigint, idx int, score double")
-    nothing = F.lit(None).cast("bigint")
-    every = own.unionByName(late.select("chunk", "idx", "score", F.lit(0).cast("bigint").alias("backs"), nothing.alias("doc_id"), nothing.alias("n_words")))
-    scored = every.groupBy("chunk", "idx").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("backs").alias("n_backoff"), F.sum("score").alias("score"))
-    # a first word has no backoff weight
-    return scored.select("doc_id", "n_words", "n_backoff", F.when(F.col("n_words") > 0, F.col("score") - log_backoff).alias("log_score"))
+    late = wait.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(joined, packed)
+    scored = own.unionByName(late).groupBy("place").applyInPandas(finish, "doc_id bigint, n_words bigint, n_backoff bigint, log_score double")
+    return scored.withColumn("log_score", F.when(F.col("n_words") > 0, F.col("log_score")))
 
 
 def op6_lm_scoring(docs: DataFrame) -> DataFrame:
