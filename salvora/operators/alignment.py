@@ -56,6 +56,14 @@ def missing(aligned: DataFrame, exports: DataFrame) -> tuple[DataFrame, DataFram
     return aligned.filter("export is null").select("doc_id", "sheet_idx", "sheet"), exports.join(taken, ["doc_id", "export"], "left_anti")
 
 
+def report(aligned: DataFrame, exports: DataFrame) -> DataFrame:
+    """(doc_id, line): for each document that is not fully matched, its status and what has no counterpart, as a line of Markdown."""
+    no_export, no_sheet = missing(aligned, exports)
+    names = lambda df, c, out: df.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(c)), ", ").alias(out))
+    rows = status(aligned).filter("status <> 'full'").join(names(no_export, "sheet", "a"), "doc_id", "left").join(names(no_sheet, "export", "b"), "doc_id", "left")
+    return rows.select("doc_id", F.format_string("- %s (%s): without export: %s; without sheet: %s", "doc_id", "status", F.coalesce("a", F.lit("-")), F.coalesce("b", F.lit("-"))).alias("line"))
+
+
 def table_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, row_idx, anchor, cells array<struct<text, rowspan, colspan>>) of all table rows of pages."""
 

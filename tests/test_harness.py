@@ -39,6 +39,7 @@ def test_alignment(spark):
     assert {(r.doc_id, r.sheet, r.export) for r in got.collect()} == {("d", "一", "一"), ("d", "二", None), ("e", "q", None)}
     assert {tuple(r) for r in alignment.status(got).collect()} == {("d", "partial"), ("e", "none")}
     no_export, no_sheet = alignment.missing(got, exports)
+    assert sorted(r.line for r in alignment.report(got, exports).collect()) == ["- d (partial): without export: 二; without sheet: 他", "- e (none): without export: q; without sheet: -"]
     assert no_export.count() == 2 and [r.export for r in no_sheet.collect()] == ["他"]
 
 
