@@ -7,7 +7,8 @@ target = least(cap, L * weight), found by a running sum over the sources in orde
 Each document is taken as often as the whole part of target / source size; the rest of the words come from the source's
 documents in a seeded order, the last of them in part, so that a source's words meet its target to the word. That order is
 cut into 65,536 ranges of the seeded digest: whole ranges are settled by their sums alone, and only the one range in
-which the words run out is put in order, so a hot source never meets in one task.
+which the words run out is put in order, so a hot source never meets in one task;
+the range is found in two steps of 256 sums, and rows meet their source's plan by source and salt.
 """
 
 from __future__ import annotations
@@ -55,19 +56,30 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
     by a digest of seed, doc_id and text, so repeated rows are each judged, and reruns agree. An empty table gives no rows.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
-    rows = cut(docs.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"), digest.alias("at")).withColumn("range", F.substring("at", 1, 4)))
-    sums = cut(rows.groupBy("source", "range").agg(F.sum("size").alias("words")))
-    plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
+    rows = cut(docs.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"), digest.alias("at")).withColumn("range", F.substring("at", 1, 4)).withColumn("salt", F.substring("at", 1, 2)))
+    sums = cut(rows.groupBy("source", "salt", "range").agg(F.sum("size").alias("words")))
+    salts = sums.groupBy("source", "salt").agg(F.sum("words").alias("words"))
+    plan = targets(salts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).cast("bigint")
     plan = cut(plan.withColumn("whole", whole).withColumn("rest", F.round("target").cast("bigint") - F.col("whole") * F.col("source_size")))
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    running = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0))).alias("o").join(plan.alias("p"), same("o", "p"))
-    edge = offsets.filter("before <= rest and rest < before + words").select("o.source", F.col("range").alias("edge"), F.col("before"))
-    plan = plan.alias("p").join(edge.alias("e"), same("p", "e"), "left").select("p.*", F.coalesce("edge", F.lit("g")).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"))
-    parts = rows.alias("r").join(plan.alias("p"), same("r", "p")).select("r.*", "p.source_size", "p.weight", "p.target", "p.whole", "p.rest", "p.edge", "p.before")
+
+    def edge_of(parts: DataFrame, by: str) -> DataFrame:
+        """The part of each source in which its rest runs out: (source, <by>, before); parts: at most 256 for a source."""
+        running = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        offset = parts.withColumn("before", F.col("base") + F.coalesce(F.sum("words").over(running), F.lit(0)))
+        return offset.filter("before <= rest and rest < before + words").select("source", by, "before")
+
+    by_salt = salts.alias("o").join(plan.alias("p"), same("o", "p")).select("o.*", "p.rest", F.lit(0).cast("bigint").alias("base"))
+    salt_edge = edge_of(by_salt, "salt")
+    by_range = sums.alias("o").join(salt_edge.alias("e"), same("o", "e") & (F.col("o.salt") == F.col("e.salt"))).join(plan.alias("p"), same("o", "p")).select("o.source", "o.range", "o.words", "p.rest", F.col("e.before").alias("base"))
+    edge = edge_of(by_range, "range")
+    plan = plan.alias("p").join(edge.alias("e"), same("p", "e"), "left").select("p.*", F.coalesce("range", F.lit("g")).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"))
+    # a source's rows are spread over all salts, and its one row of the plan is repeated for each
+    every = F.explode(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lower(F.lpad(F.hex(i), 2, "0"))))
+    plan = plan.withColumn("salt", every)
+    parts = rows.alias("r").join(plan.alias("p"), (F.col("r.salt") == F.col("p.salt")) & same("r", "p")).select("r.*", "p.source_size", "p.weight", "p.target", "p.whole", "p.rest", "p.edge", "p.before")
     settled = parts.filter("range <> edge").withColumn("extra", F.when(F.col("range") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
-    # by range too, so that the join by source above stays free to split a hot source
     order = Window.partitionBy("source", "range").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1)
     run_out = parts.filter("range = edge").withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
     taken = settled.unionByName(run_out)
