@@ -27,7 +27,7 @@ from salvora.session import cut
 MIN_COUNT, BACKOFF = 2, 0.4
 HEAVY = 8192
 #: Words of one chunk of documents, documents of one chunk, words that a worker remembers hashes of, pairs of a bucket.
-CHUNK_WORDS, CHUNK_DOCUMENTS, KNOWN_WORDS, BUCKET_PAIRS = 1_000_000, 60_000, 1_000_000, 2_000_000
+CHUNK_WORDS, CHUNK_DOCUMENTS, KNOWN_WORDS, BUCKET_PAIRS = 1_000_000, 60_000, 300_000, 1_000_000
 START, END = np.uint64(2**64 - 2), np.uint64(2**64 - 1)
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
