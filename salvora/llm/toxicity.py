@@ -12,7 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,8 @@ STEMS = (3, 4, 5, 6)
 #: Least log odds of an entry.
 LEAST_ODDS = 1.5
 FOLDS = 5
+#: Words that a worker remembers.
+KNOWN_WORDS = 300_000
 #: Words between a lexicon word and a second-person word that still count as near.
 NEAR = 5
 
@@ -63,13 +65,15 @@ def entries(core: str) -> list[str]:
     return [core, *(core[:k] + "*" for k in STEMS if len(core) > k)] if core else []
 
 
-def features(text: str | None, lexicon: dict[str, float], folded: dict[str, float]) -> list[float]:
-    """The features of a whole text. lexicon: weight of each word and of each beginning, as in entries(); folded: the same with repeats once, to look behind obfuscation."""
+def features(text: str | None, lexicon: dict[str, float], folded: dict[str, float], known: dict[str, tuple] | None = None) -> list[float]:
+    """The features of a whole text. lexicon: weight of each word and of each beginning, as in entries(); folded: the same with repeats once, to look behind obfuscation; known: words seen before, with what there is to say about each."""
     text = text or ""
     words = text.split()
     n = max(1, len(words))
     hits, hidden, total, most, masked, shouted, you = [], 0, 0.0, 0.0, 0, 0, []
-    known: dict[str, tuple] = {}
+    known = {} if known is None else known
+    if len(known) > KNOWN_WORDS:
+        known.clear()
     for i, word in enumerate(words):
         seen = known.get(word)
         if seen is None:
@@ -106,13 +110,17 @@ class Model:
     lexicon: dict[str, float]
     trees: Boosted
     calibration: Isotonic
+    known: dict[str, tuple] = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
 
     def features(self, texts: list) -> np.ndarray:
         folded = {}
         for word, weight in self.lexicon.items():
             folded[unmasked(word)] = max(weight, folded.get(unmasked(word), 0.0))
         folded.pop("", None)
-        return np.array([features(t, self.lexicon, folded) for t in texts], dtype=float).reshape(len(texts), len(NAMES))
+        return np.array([features(t, self.lexicon, folded, self.known) for t in texts], dtype=float).reshape(len(texts), len(NAMES))
 
     def score(self, texts: list) -> np.ndarray:
         return np.clip(self.calibration.predict(self.trees.margin(self.features(texts))), 0.0, 1.0)
