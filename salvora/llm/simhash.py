@@ -9,17 +9,25 @@ are cut by the Manhattan bound and then verified on the fingerprints themselves.
 A cell of very many fingerprints is not joined with itself. Its members go through an exact star instead: two
 fingerprints differ in at most two bits just if both lie within one bit of a common word, so each
 member is tied to the least member about each of its 65 words. That is linear in the members and keeps every component.
+
+Fingerprints of three words and two bits are the contract of op1. keep_one, which takes documents out of a corpus, goes by the sets of
+shingles themselves: five words, Jaccard similarity 0.8 or more, every such pair found (no radius of fingerprints gives that: pairs of 0.8 are
+some ten bits apart). Sets so similar share one of their first n - ceil(0.8 n) + 1 shingles in any one order of all
+shingles; shingles that are common in a sample come last, so that few sets meet by them. The order never decides what is found. Pairs that meet in a
+cell are cut by the overlap that their places in it allow and by sketches, both of which only drop pairs that cannot be similar, and verified on the whole sets. Cells of very many sets are compared by postings
+in Python, for all cells that share sets at once.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salvora.operators.components import connected_components
@@ -30,6 +38,12 @@ HASH_SEED = 42
 RADIUS = 2
 #: Fingerprints in a cell from which on the star replaces the self-join.
 CELL_LIMIT = 64
+#: Words of a shingle, and Jaccard similarity of two sets of them, from which one of two documents is dropped.
+COPY_WORDS, SIMILARITY = 5, 0.8
+#: About so many documents tell which shingles are common; at most so many of these are kept (16 bytes each).
+SAMPLE_DOCS, COMMON_LIMIT = 4096, 200_000
+#: Bits of a set's sketch; slots of text hashes, of which those in use are broadcast.
+SKETCH_BITS, TEXT_SLOTS = 2048, 1 << 20
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -37,14 +51,21 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _FIELD = 0x5555555555555555
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
-    """The 64-bit SimHash of a whole text; 0 for null and for texts without words."""
+def shingle_hashes(text: str | None, words: int, seed: int = HASH_SEED) -> np.ndarray:
+    """The hashes of all shingles of a whole text in their order; of fewer words than a shingle has, the one of all of them."""
     tokens = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
     if not tokens:
-        return 0
+        return np.empty(0, dtype="<u8")
     shingles = [b" ".join(tokens)] if len(tokens) < words else map(b" ".join, zip(*(tokens[i:] for i in range(words))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, seed) for s in shingles), dtype="<u8")
+    return np.fromiter((digest(s, seed) for s in shingles), dtype="<u8")
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
+    """The 64-bit SimHash of a whole text; 0 for null and for texts without words."""
+    hashes = shingle_hashes(text, words, seed)
+    if not len(hashes):
+        return 0
     by_byte = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(by_byte[:, b], minlength=256) @ _BITS for b in range(8)])
     return sum(1 << int(i) for i in np.flatnonzero(2 * counts > len(hashes)))
@@ -125,9 +146,151 @@ def op1_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _set_key(hashes: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes(), HASH_SEED)], dtype="<u8").view("<i8")[0])
+
+
+def _longs(arrays: list[np.ndarray]) -> pa.Array:
+    """array<bigint> of arrays of 64-bit numbers."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype="<u8"), *arrays]).view("<i8")))
+
+
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    """The arrays of a list column, sorted as unsigned numbers as they were made."""
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view("<u8")
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample have, in order, and in how many; the sample goes by the hash of a text."""
+    step = max(1, round(texts.count() / SAMPLE_DOCS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_longs([np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(0)])], names=["h"])
+
+    sample = texts.filter(F.pmod("t", F.lit(step)) == 0).dropDuplicates(["t"]).select("text").mapInArrow(run, "h array<bigint>")
+    seen = sample.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON_LIMIT).toPandas()
+    h, n = seen["h"].to_numpy(dtype="<i8").view("<u8"), seen["n"].to_numpy(dtype="<i8")
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _joined(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect just those sets that paths of similar pairs connect: every set against the sets before it, by the postings of its shingles."""
+    flat, size = np.unique(np.concatenate(sets), return_inverse=True)[1], np.array([len(s) for s in sets])
+    start = np.cumsum([0, *size])
+    by = np.argsort(flat, kind="stable")
+    owner, first = np.repeat(np.arange(len(sets)), size)[by], np.searchsorted(flat[by], np.arange(flat.max() + 2))
+    root, edges = np.arange(len(sets)), []
+    for x in range(1, len(sets)):
+        both = np.bincount(np.concatenate([owner[first[h] : first[h + 1]] for h in flat[start[x] : start[x + 1]]]), minlength=len(sets))[:x]
+        for y in np.flatnonzero(both >= similarity * (size[:x] + size[x] - both) - 1e-9):
+            if root[x] != root[y]:
+                root[root == root[x]] = root[y]
+                edges.append((int(keys[x]), int(keys[y])))
+    return edges
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the shingles in SKETCH_BITS places: two sketches differ in no more bits than their sets in shingles."""
+    return np.packbits(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+
+
+def similar_links(marks: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float, words: int, cell_limit: int = CELL_LIMIT) -> DataFrame:
+    """Edges (src, dst) between keys of sets: pairs of the similarity or more, and only those, are connected by them.
+
+    marks: (key, size, prefix), a set may recur; sets: (key, t, size, sketch), each once; texts: (t, text).
+    """
+    cells = marks.select("key", "size", F.posexplode("prefix").alias("i", "cell")).repartition("cell")
+    n = F.count("*").over(Window.partitionBy("cell"))
+    shared = cut(cells.withColumn("n", n).filter("n > 1").dropDuplicates(["cell", "key"]).withColumn("n", n).filter("n > 1"))
+    thin, dense = shared.filter(F.col("n") <= cell_limit), shared.filter(F.col("n") > cell_limit)
+    a, b = thin.alias("a"), thin.alias("b")
+    # after the first shingle that two sets share, no more can follow than the shorter rest has
+    most = F.least(F.col("a.size") - F.col("a.i"), F.col("b.size") - F.col("b.i"))
+    near = (
+        a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.key") < F.col("b.key")) & (most >= similarity / (1 + similarity) * (F.col("a.size") + F.col("b.size")) - 1e-9))
+        .select(F.col("a.key").alias("src"), F.col("b.key").alias("dst"))
+        .distinct()
+    )
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH_BITS // 8) for c in (3, 4))
+            most = (1 - similarity) / (1 + similarity) * batch.column(2).to_numpy() + 1e-6
+            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most))
+
+    one, two = (sets.select(F.col("key").alias(k), F.col("size").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in ("src", "dst"))
+    pairs = cut(near.join(one, "src").join(two, "dst").select("src", "dst", (F.col("n_src") + F.col("n_dst")).alias("n"), "s_src", "s_dst").mapInArrow(close, "src bigint, dst bigint"))
+    hub = dense.groupBy("cell").agg(F.min("key").alias("hub"))
+    groups = connected_components(dense.join(hub, "cell").select(F.col("hub").alias("src"), F.col("key").alias("dst")))
+    groups = cut(groups.select(F.col("node").alias("key"), F.col("component").alias("group")))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(h) for h in found], pa.int64()), _longs(found)], names=["key", "h"])
+
+    wanted = cut(pairs.select(F.explode(F.array("src", "dst")).alias("key")).unionByName(groups.select("key")).distinct().join(sets.select("key", "t"), "key").select("t"))
+    slot = F.pmod("t", F.lit(TEXT_SLOTS))
+    likely = texts.withColumn("slot", slot).join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), "slot", "left_semi").drop("slot")  # spares most texts the shuffle
+    whole = cut(likely.join(wanted, "t", "left_semi").dropDuplicates(["t"]).select("text").mapInArrow(hashed, "key bigint, h array<bigint>"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [_similar(x, y, similarity) for x, y in zip(_rows(batch.column(2)), _rows(batch.column(3)))]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    def compared(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        edges = _joined(table["key"].to_numpy(), [r for c in table["h"].chunks for r in _rows(c)], similarity)
+        return pa.table({"src": pa.array([e[0] for e in edges], pa.int64()), "dst": pa.array([e[1] for e in edges], pa.int64())})
+
+    left, right = (whole.select(F.col("key").alias(k), F.col("h").alias(f"h_{k}")) for k in ("src", "dst"))
+    few = pairs.join(left, "src").join(right, "dst").select("src", "dst", "h_src", "h_dst").mapInArrow(verified, "src bigint, dst bigint")
+    return few.unionByName(groups.join(whole, "key").groupBy("group").applyInArrow(compared, "src bigint, dst bigint"))
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, cell_limit: int = CELL_LIMIT) -> DataFrame:
+    """(doc_id, t, component_id) for every row of docs; t is a hash of its text.
+
+    component_id is the smallest doc_id among the rows reachable over pairs of at least the similarity. Texts without words are alike.
+    """
+    body = F.col(text).cast("string")
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("t"), body.alias("text"))
+    common, often = _common(texts, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, sketches, firsts = [], [], [], []
+            for x in batch.column(2):
+                h = np.unique(shingle_hashes(x.as_py(), words))
+                at = np.searchsorted(common, h)
+                n = np.where(common[np.minimum(at, len(common) - 1)] == h, often[np.minimum(at, len(common) - 1)], 0) if len(common) else np.zeros(len(h), dtype=np.int64)
+                keys.append(_set_key(h))
+                sizes.append(len(h))
+                sketches.append(_sketch(h))
+                firsts.append(h[np.argsort(n, kind="stable")][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), _longs(firsts)], names=["doc_id", "t", "key", "size", "sketch", "prefix"])
+
+    marks = cut(texts.mapInArrow(run, "doc_id bigint, t bigint, key bigint, size int, sketch binary, prefix array<bigint>"))
+    sets = cut(marks.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    comp = connected_components(similar_links(marks, sets, texts.select("t", "text"), similarity, words, cell_limit))
+    named = sets.select("key", "rep").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return marks.select("doc_id", "t", "key").join(named.join(least, "component").select("key", "component_id"), "key").select("doc_id", "t", "component_id")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class of near duplicates, with all columns: that of the smallest doc_id, any one if its rows recur. Rows without a doc_id stay."""
-    named = cut(near_duplicates(docs.filter(F.col(doc_id).isNotNull()), doc_id, text))
+    """One row of each class of near copies, with all columns: that of the smallest doc_id, any one if its rows recur. Rows without a doc_id stay."""
+    named = cut(near_copies(docs.filter(F.col(doc_id).isNotNull()), doc_id, text))
     keep = named.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     same = docs[doc_id].cast("bigint") == F.col("__keep")
     once = docs.join(keep.filter("n = 1").select(F.col("doc_id").alias("__keep")), same, "left_semi")

@@ -77,3 +77,41 @@ def test_edge_rows(spark):
     assert [r for r in got if r[0] in (2, 3)] == [(2, f, 2), (3, f, 2)]
     assert [r[2] for r in got if r[0] is None] == [None]
     assert simhash.op1_simhash(df.limit(0)).count() == 0
+
+
+def slow_sets(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
+
+
+@pytest.mark.parametrize("limit", [64, 2])
+def test_near_copies_match_brute_force(spark, limit):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = ["", " ", "one two", "one two", "one two three", "a b c d e f g h i", "a b c d e f g h"]
+    for length in (30, 60, 150, 300):
+        for _ in range(4):
+            base = [word() for _ in range(length)]
+            texts.append(" ".join(base))
+            for _ in range(10):
+                copy = list(base)
+                for _ in range(rng.randint(1, max(2, length // 40))):
+                    copy[rng.randrange(length)] = word()
+                texts.append(" ".join(copy))
+    ids = rng.sample(range(10_000), len(texts))
+    sets = [slow_sets(t) for t in texts]
+    root = list(range(len(texts)))
+    far = 0
+    for x in range(len(texts)):
+        for y in range(x):
+            if sets[x] == sets[y] or len(sets[x] & sets[y]) * 5 >= len(sets[x] | sets[y]) * 4:
+                far += bin(slow_fingerprint(texts[x]) ^ slow_fingerprint(texts[y])).count("1") > 2
+                root = [root[y] if r == root[x] else r for r in root]
+    assert far > 50
+    least = {}
+    for r, i in zip(root, ids):
+        least[r] = min(i, least.get(r, i))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df, cell_limit=limit).collect()}
+    assert got == {i: least[r] for r, i in zip(root, ids)}
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(least.values())
