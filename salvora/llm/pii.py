@@ -1,25 +1,25 @@
 """Personal data: exact formats, and information-theoretic sanitisation of the terms about them.
 
-Spans of e-mail addresses, IP addresses, card and phone numbers are protected entities. Words close to an entity may give it away: over the
-whole corpus, df counts the documents of every word and of every entity, and n those in which a word stands close to an entity.
+Spans of e-mail addresses, IP addresses, card and phone numbers are protected entities. Words about an entity may give it away: over the
+whole corpus, df counts the documents of every word and of every entity, and n those that have both, wherever they stand.
 What a word discloses of an entity is their pointwise mutual information as a share of the entity's information content,
 log2(n * N / (df_word * df_entity)) / log2(N / df_entity): 1 if the entity stands wherever the word does. Words that share at least two documents
-with an entity and disclose more than a threshold of it are generalised or, above a higher one, removed, where they stand close to that entity.
+with an entity and disclose more than a threshold of it are generalised or, above a higher one, removed, wherever they stand in a document with that entity.
 
 The patterns are written so that a failed attempt is never retried inside the same run of characters, so time is linear in the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salvora.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
-#: Code points on either side of an entity in which words count as close.
-REACH = 64
+#: Code points on either side of an entity in which words count: all of a document.
+REACH = 1 << 60
 #: Documents that a word and an entity share at least, and shares of an entity's information from which a word is generalised or removed.
 SUPPORT, GENERALISE, REMOVE = 2, 0.7, 0.9
 
@@ -77,25 +77,17 @@ def spans_of(text: Column, kind: str) -> Column:
     return found if kind == "email" else F.filter(found, lambda s: _valid(kind, s["value"]))
 
 
-def _close(text: Column, entities: Column, reach: int) -> Column:
-    """array<struct<entity, term, start, end>>: words close to each entity and outside all of them."""
+def _words_of(rows: DataFrame) -> DataFrame:
+    """(row, term, start, end): words of the texts of rows (row, text, entities) outside all entities; linear in a text, whose pieces are rows."""
+    pieces = rows.select("row", "entities", F.posexplode(F.arrays_zip(F.split("text", _TERM, -1).alias("gap"), F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)).alias("hit"))).alias("i", "x"))
+    size = F.coalesce(F.length("x.hit"), F.lit(0)).cast("bigint")
+    end = F.sum(F.length("x.gap") + size).over(Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    words = pieces.withColumn("end", end).filter("x.hit is not null").withColumn("start", F.col("end") - size)
+    outside = ~F.exists("entities", lambda e: (F.col("start") < e["end"]) & (e["start"] < F.col("end")))
+    return words.filter(outside).select("row", F.lower("x.hit").alias("term"), "start", "end")
 
-    def about(e: Column) -> Column:
-        begin = F.greatest(F.lit(0).cast("bigint"), e["start"] - reach)
-        left = F.substring(text, (begin + 1).cast("int"), (e["start"] - begin).cast("int"))
-        right = F.substring(text, (e["end"] + 1).cast("int"), F.lit(reach))
-        before = F.filter(located(left, _TERM), lambda w: (w["start"] > 0) | (begin == 0))  # the first word may be cut
-        after = F.filter(located(right, _TERM), lambda w: (w["end"] < F.length(right)) | (e["end"] + F.length(right) >= F.length(text)))
-        put = lambda words, shift: F.transform(words, lambda w: F.struct(e["value"].alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + shift).alias("start"), (w["end"] + shift).alias("end")))
-        words = F.concat(put(before, begin), put(after, e["end"]))
-        others = F.filter(entities, lambda o: (o["end"] > begin) & (o["start"] < e["end"] + reach))
-        # the array of one element binds `others`, which would else be made anew for each word
-        return F.flatten(F.transform(F.array(others), lambda near: F.filter(words, lambda w: ~F.exists(near, lambda o: (w["start"] < o["end"]) & (o["start"] < w["end"])))))
 
-    return F.flatten(F.transform(entities, about))
-
-
-def sanitise(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, keep_text: bool = False) -> DataFrame:
+def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, keep_text: bool = False) -> DataFrame:
     """(doc_id, email, ip, card, phone, terms[, text]) for every row of docs (doc_id, text).
 
     The four kinds are arrays of spans; terms are array<struct<action, start, end>> in the order of actions and starts. With
@@ -105,27 +97,29 @@ def sanitise(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, genera
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id"), text.alias("text")).select("doc_id", "text", *(spans_of(F.col("text"), k).alias(k) for k in KINDS))
     base = base.withColumn("entities", F.concat(*KINDS))
-    base = base.withColumn("close", F.when(F.size("entities") > 0, _close(F.col("text"), F.col("entities"), reach)).otherwise(F.array().cast("array<struct<entity:string,term:string,start:bigint,end:bigint>>")))
-    base = cut(base.withColumn("row", F.monotonically_increasing_id()).drop(*(() if keep_text else ("text",))))
+    base = cut(base.withColumn("row", F.monotonically_increasing_id()).withColumn("body", F.when(F.size("entities") > 0, F.col("text"))).drop(*(() if keep_text else ("text",))))
 
     total = base.count()
-    pairs = base.select(F.explode(F.array_distinct(F.transform("close", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+    held = base.filter(F.size("entities") > 0).select("row", F.explode(F.array_distinct(F.transform("entities", lambda e: e["value"]))).alias("entity"))
+    entities = cut(held.groupBy("entity").agg(F.count("*").alias("df_entity")).filter(F.col("df_entity") >= support))
+    held = cut(held.join(entities.select("entity"), "entity"))
+    shared = base.select("row", F.col("body").alias("text"), "entities").join(held.select("row").distinct(), "row", "left_semi")
+    places = cut(_words_of(shared))
+    pairs = held.join(places.select("row", "term").distinct(), "row").groupBy("entity", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
     pairs = cut(pairs)
-    entities = base.select(F.explode(F.array_distinct(F.transform("entities", lambda e: e["value"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
     known = words.join(pairs, "term").join(entities, "entity")
     n = F.lit(float(total))
     mutual, content = F.log2(F.col("n") * n / (F.col("df_term") * F.col("df_entity"))), F.log2(n / F.col("df_entity"))
     share = F.when(content > 0, mutual / content).otherwise(F.lit(0.0))
     disclosing = known.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
-    hits = base.filter(F.size("close") > 0).select("row", F.explode("close").alias("c")).select("row", "c.*").join(disclosing, ["entity", "term"])
-    worst = hits.groupBy("row", "start", "end").agg(F.max("share").alias("share"))
+    worst = held.join(disclosing, "entity").groupBy("row", "term").agg(F.max("share").alias("share")).join(places, ["row", "term"])
     action = F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
     terms = worst.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(action.alias("action"), "start", "end"))).alias("terms"))
     out = base.join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<action:string,start:bigint,end:bigint>>")))
     if keep_text:
         out = out.withColumn("text", _sanitised(F.col("text")))
-    return out.drop("row", "entities", "close")
+    return out.drop("row", "entities", "body")
 
 
 def _sanitised(text: Column) -> Column:

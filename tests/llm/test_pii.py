@@ -111,3 +111,11 @@ def test_empty_table_and_extra_columns(spark):
     assert pii.op5_pii(df).count() == 0
     df = spark.createDataFrame([(None, "a@b.cd", 1, "x"), (None, "a@b.cd", 1, "x")], "doc_id bigint, text string, terms int, row string")
     assert [r.n_email for r in pii.op5_pii(df).collect()] == [1, 1]
+
+
+def test_terms_far_from_an_entity(spark):
+    far = " ".join(["filler"] * 40)
+    rows = [f"quarrel {far} jo.doe@mail.example.com {far} quarrel and quarrel", f"jo.doe@mail.example.com {far} quarrel"] + [f"filler and other words {i}" for i in range(40)]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"), keep_text=True).collect()}
+    assert [rows[0][t.start : t.end] for t in got[0].terms] == ["quarrel"] * 3 and all(t.action == "remove" for t in got[0].terms)
+    assert "quarrel" not in got[0].text + got[1].text and not got[5].terms
