@@ -115,15 +115,51 @@ def test_topk_of_few(spark):
     assert [tuple(r) for r in topk.op4_topk(spark.createDataFrame([(50, [1.0], 1), (1, [-1.0], None)], schema)).collect()] == [(50, 1, 1, -65536)]
 
 
+def search(q, x, pivots, least=-np.inf):
+    table = topk.Pivots(list(pivots))
+    x = x.astype(float)
+    return topk.search_block([(-1, q.astype(float), least)], table.distances(q[None].astype(float)), np.arange(len(x)), x, table.distances(x), table)
+
+
 def test_topk_stops_early_and_is_exact_for_large_numbers():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.integers(-5, 5, (4000, 8)), rng.integers(190, 210, (100, 8))])
     pivots = x[:: len(x) // 24][:24].astype(float)
-    got, evaluated = topk.search_block([(-1, x[4050])], np.arange(len(x)), x, pivots)
     want = sorted((-int(s), i) for i, s in enumerate(x @ x[4050]))[:5]
-    assert [(i, s) for _, i, s in got] == [(i, -s) for s, i in want] and evaluated < len(x) // 2
+    for least in (-np.inf, float(-want[-1][0])):  # of no earlier block, and of one that had the k-th best
+        got, evaluated = search(x[4050], x, pivots, least)
+        assert [(i, s) for _, i, s in got] == [(i, -s) for s, i in want] and evaluated < len(x) // 20
     big = np.array([[2**28, 1], [2**28, 2]])
-    assert topk.search_block([(-1, big[0])], np.arange(2), big, big.astype(float))[0] == [(-1, 1, 2**56 + 2), (-1, 0, 2**56 + 1)]
+    assert search(big[0], big, big.astype(float))[0] == [(-1, 1, 2**56 + 2), (-1, 0, 2**56 + 1)]
+
+
+def test_topk_bounds_hold():
+    """No bound of the pivot table is below a score, and all pivots together bound no worse than any one."""
+    rng = np.random.default_rng(3)
+    for pivots in (1, 2, 5, 12, 30):
+        x = rng.normal(0, 256, (300, 10)).round()
+        table = topk.Pivots(list(x[:pivots]))
+        far = table.distances(x)
+        at, high = table.places(far)
+        gaps = ((at[:, None] - at[None]) ** 2).sum(-1) + (high[:, None] - high[None]) ** 2
+        real = ((x[:, None] - x[None]) ** 2).sum(-1)
+        used = far[:, [0, *table.used]]
+        single = (np.abs(used[:, None] - used[None]).max(-1)) ** 2
+        assert (gaps <= real + 1).all() and (gaps >= single - 1).all()  # squares of some hundreds of thousands, as rounded
+
+
+def test_topk_of_large_components(spark):
+    """Sums are exact; beyond a long they are the nearest one and tie; what scaling makes infinite takes no part."""
+    rows = [(50, [1e17, 1e17]), (1, [1e17, 1e17]), (2, [1e16, 1.0]), (3, [-1e17, 0.0]), (4, [1e-3, 2e-3]), (5, [1e308, 0.0])]
+    got = [tuple(r)[1:] for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [(1, 1, 2**63 - 1), (2, 2, 2**63 - 1), (3, 4, 0), (4, 3, -(2**63))]
+
+
+def test_topk_elimination(spark):
+    """Directions without any order in 16 dimensions: what is left to evaluate is a small share."""
+    rng = np.random.default_rng(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (3000, 16)))]
+    assert topk.evaluated_share(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), pivots=14) < 0.1
 
 
 # ------------------------------------------------------------------ language model
