@@ -3,7 +3,7 @@
 An item may differ from its copy in a document by up to k edits, a share of its length. Cut into k + 1 pieces, at least one piece
 is unchanged in the copy; an Aho-Corasick automaton finds the exact hits of all pieces in a text, each hit says where the whole
 item would begin, and the window about it is verified with Myers' bit-parallel edit distance. Texts and items are compared in lower case
-with runs of space as one space.
+with runs of space as one space. An item too short for an edit is looked for as it is, between characters that are no letters or digits.
 
 Items go through in blocks of bounded size, so the automaton's size does not depend on the benchmark's.
 """
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 #: One edit for so many characters of an item.
 CHARS_PER_EDIT = 20
-#: Shorter items are not looked for: they say too little to be a leak.
-LEAST_CHARS = 24
 #: Characters of items in one block.
 BLOCK_CHARS = 4_000_000
 
@@ -42,6 +40,11 @@ def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def whole(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] ends no word within it."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum()) and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
 def myers(item: str, text: str, most: int) -> tuple[int, int]:
     """Least edit distance of item to a substring of text, and where the first such substring ends; (most + 1, -1) if above most."""
     m = len(item)
@@ -73,7 +76,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
 
-        self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= LEAST_CHARS]
+        self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
         owners: dict[str, list[tuple[int, int]]] = {}
         for n, (_, item) in enumerate(self.items):
             for at, piece in pieces(item, budget(item)):
@@ -97,11 +100,14 @@ class Matcher:
                 if n in best and best[n][0] == 0:
                     continue
                 item = self.items[n][1]
-                start = end - size + 1 - offset
+                start, k = end - size + 1 - offset, budget(item)
+                if not k:
+                    if whole(text, start, end + 1):
+                        best[n] = (0, start)
+                    continue
                 if text.startswith(item, max(start, 0)) and start >= 0:
                     best[n] = (0, start)
                     continue
-                k = budget(item)
                 done = tried.setdefault(n, [])
                 at = bisect_left(done, start)
                 if at < len(done) and done[at] == start:
@@ -126,7 +132,9 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
 def matches(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, start, distance): every item that a row of docs holds within its edit budget, once for a row.
 
-    Null and empty texts hold nothing. Repeated rows each give theirs. Null items and those under LEAST_CHARS are not looked for.
+    Null and empty texts hold nothing, nor do items that are null or of white space only; all others are looked for, of any length. Texts are searched whole, in time that grows with
+    their length and the places where a piece of an item stands. Repeated rows each give theirs, also of equal ids; of items with equal texts the least id counts. Of equally close
+    copies the first is given. Other columns of docs and benchmark play no part; an empty table of either gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
@@ -157,7 +165,10 @@ def _leaks(items: list[tuple[int, str]]):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns; one pass for each block of items."""
+    """The rows of docs that hold no item, with all their columns, whatever their names; one pass for each block of items.
+
+    What holds an item is defined as for matches: a benchmark with an item of one common word takes out all texts that have the word. Null and empty texts stay.
+    """
     for items in item_blocks(benchmark, block_chars):
         docs = docs.filter(~_leaks(items)(F.col("text").cast("string")))
     return docs

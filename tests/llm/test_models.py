@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -220,7 +221,7 @@ def test_myers():
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(rng.randint(8, 40)))) for i in range(12)] + [(50, "short"), (51, None), (None, " ".join(word() for _ in range(9))), (3, " ".join(word() for _ in range(9)))]
+    items = [(i, " ".join(word() for _ in range(rng.randint(8, 40)))) for i in range(12)] + [(50, "Short"), (51, None), (52, "b  c"), (53, "é-1"), (54, " \n"), (None, " ".join(word() for _ in range(9))), (3, " ".join(word() for _ in range(9)))]
     items.append((99, items[0][1]))  # the same text again counts under its least id
     docs = []
     for i in range(150):
@@ -232,7 +233,7 @@ def test_decontamination_matches_brute_force(spark):
                 copy[at : at + 1] = rng.choice(([], ["z"], [copy[at], "y"]))
             text = f"{text[: len(text) // 2]} {''.join(copy).upper()}\n{text[len(text) // 2 :]}"
         docs.append((i, text))
-    docs += [(None, None), (200, ""), (7, docs[7][1])]
+    docs += [(None, None), (200, ""), (7, docs[7][1]), (201, "a SHORT one"), (202, "shorts, un-short"), (203, "ab c b cd, b\tc"), (204, "é-12 xé-1"), (205, "(É-1)")]
     want = []
     known = {}
     for i, t in items:
@@ -242,7 +243,11 @@ def test_decontamination_matches_brute_force(spark):
         t = " ".join((text or "").lower().split())
         for item, i in known.items():
             n = decontamination.normal(item)
-            if len(n) >= decontamination.LEAST_CHARS and (dist := edit_distance_within(n, t)) <= decontamination.budget(n):
+            if 0 < len(n) < decontamination.CHARS_PER_EDIT:
+                ends = lambda c: r"(?![^\W_])" if c.isalnum() else ""
+                if re.search((r"(?<![^\W_])" if n[0].isalnum() else "") + re.escape(n) + ends(n[-1]), t):
+                    want.append((d, i, 0))
+            elif n and (dist := edit_distance_within(n, t)) <= decontamination.budget(n):
                 want.append((d, i, dist))
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1))
@@ -255,6 +260,14 @@ def test_decontamination_matches_brute_force(spark):
     assert decontamination.op9_decontamination(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_a_very_long_text(spark):
+    rng = random.Random(4)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(20))
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(150_000))
+    df = spark.createDataFrame([(1, long), (2, long + " " + item[:60] + "z" + item[61:])], "doc_id bigint, text string")
+    assert [tuple(r) for r in decontamination.op9_decontamination(df, spark.createDataFrame([(4, item)], "item_id bigint, text string")).select("doc_id", "item_id", "distance").collect()] == [(2, 4, 1)]
+
+
 # ------------------------------------------------------------------ secrets
 
 
