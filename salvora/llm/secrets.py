@@ -1,7 +1,8 @@
 """Secret scans: candidate strings judged by a random forest that was trained on labelled findings.
 
-Candidates are long strings of key-like characters, and private-key blocks. The forest sees length, character classes and transitions, dictionary
-coverage, path neighbours and the words before it, and takes out false positives: identifiers, hashes of files, long words, paths, placeholders.
+Candidates are values that a word for a secret is set to, of any length and signs, long strings of key-like characters, tokens of several parts with dots, long words of letters,
+digits and other signs, and private-key blocks. They may overlap; what the forest keeps of them is joined. The forest sees length, character classes and transitions, dictionary
+coverage, path neighbours and the words before it, all over the whole candidate, and takes out false positives: identifiers, hashes of files, long words, paths, placeholders.
 Labelled findings are (text, start, end, label); without any of one's own a seeded generator writes a set of the usual kinds of both.
 """
 
@@ -10,28 +11,35 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salvora.llm.trees import Forest
 
-LEAST = 16
-#: Findings the forest learns from at most; of more, those that come first.
+#: Characters of a key-like string, and of a word of all kinds of signs, that no word for a secret stands before.
+LEAST, LEAST_MIXED = 16, 12
+#: Findings the forest learns from at most; of more, a sample by a seeded hash.
 MAX_FINDINGS = 20_000
-GENERATED, SEED = 3000, 11
+GENERATED, SEED = 4500, 11
 MASK = "[SECRET]"
 
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+_DOTTED = re.compile(r"[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{8,}){2,}")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
 _WORDS = re.compile(r"[A-Za-z][A-Za-z0-9]*")
 _ALPHA = re.compile(r"[a-z]{3,}")
 
+# What the name of a secret has in it, and the value after it.
+STEMS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "private_key", "credential", "authorization", "bearer")
+_VALUE = re.compile("(?:" + "|".join(STEMS) + r""")[a-z0-9_\-]{0,40}["'`]?[ \t]*(?::=|=>|=|:)[ \t]*(?:bearer[ \t]+|basic[ \t]+)?(?:"([^\s"]+)"|'([^\s']+)'|`([^\s`]+)`|([^\s"'`,;]+))""", re.I)
 # Words before secrets, words before strings that look like them, and prefixes of known kinds of keys.
 KEY_WORDS = frozenset("token secret password passwd pwd key apikey api auth authorization bearer credential credentials access private client session signing jwt pat".split())
 PLAIN_WORDS = frozenset("commit sha sha1 sha256 md5 checksum digest hash uuid guid id revision version integrity etag build image file path url href src index object tree blob".split())
@@ -61,18 +69,17 @@ def coverage(s: str) -> float:
 
 
 _VOWEL = frozenset("aeiouyAEIOUY")
-NAMES = ("length", "digits", "upper", "lower", "other", "changes", "entropy", "hex", "vowels", "longest_letters", "distinct", "coverage", "slashes", "path", "quoted", "assigned", "key_words", "plain_words", "prefix", "run", "dashes", "block")
+_BRACKETS, _MARKS = frozenset("()[]{}<>$%"), frozenset("!@#$%^&*~?+=|")
+NAMES = ("length", "digits", "upper", "lower", "other", "changes", "entropy", "hex", "vowels", "longest_letters", "distinct", "coverage", "slashes", "path", "quoted", "assigned", "key_words", "plain_words", "prefix", "run", "dashes", "block", "named", "brackets", "marks", "dots", "opens")
 
 
 def features(text: str, start: int, end: int) -> list[float]:
-    """Features of the candidate text[start:end]; a candidate longer than 512 characters is described by its first and last 256."""
+    """Features of the candidate text[start:end], of all of it."""
     s = text[start:end]
-    block = s.startswith("-----BEGIN")
-    if len(s) > 512:
-        s = s[:256] + s[-256:]
     n = len(s)
     kinds = _classes(s)
-    counts = np.unique(list(s), return_counts=True)[1] / n
+    chars = Counter(s)
+    counts = np.array(list(chars.values())) / n
     before = text[max(0, start - 60) : start]
     near = [w.lower() for w in _WORDS.findall(before)[-4:]]
     near += [p for w in near for p in w.split("_")]
@@ -80,33 +87,48 @@ def features(text: str, start: int, end: int) -> list[float]:
     longest_run = max(len(m.group()) for m in re.finditer(r"(.)\1*", s, re.S))
     after = text[end : end + 1]
     last = before[-1:]
+    total = lambda some: sum(chars[c] for c in some)
     return [
-        math.log(end - start), kinds.count(2) / n, kinds.count(1) / n, kinds.count(0) / n, kinds.count(3) / n,
-        sum(a != b for a, b in zip(kinds, kinds[1:])) / n, float(-(counts * np.log2(counts)).sum()), float(all(c in "0123456789abcdef" for c in s.lower())),
-        sum(c in _VOWEL for c in s) / max(1, sum(letters)), max(letters, default=0) / n, len(set(s)) / min(n, 64), coverage(s),
+        math.log(n), kinds.count(2) / n, kinds.count(1) / n, kinds.count(0) / n, kinds.count(3) / n,
+        sum(a != b for a, b in zip(kinds, kinds[1:])) / n, float(-(counts * np.log2(counts)).sum()), float(all(c in "0123456789abcdefABCDEF" for c in chars)),
+        total(_VOWEL) / max(1, sum(letters)), max(letters, default=0) / n, len(chars) / min(n, 64), coverage(s),
         s.count("/"), float(last in ("/", ".", "\\") or after in ("/", "\\") or bool(re.search(r"://\S*$", before))), float(last in ("'", '"', "`")),
         float(bool(re.search(r"[=:]\s*['\"`]?$", before))), float(sum(w in KEY_WORDS for w in near)), float(sum(w in PLAIN_WORDS for w in near)),
-        float(s.startswith(PREFIXES)), longest_run / n, s.count("-") + s.count("_"), float(block),
+        float(s.startswith(PREFIXES)), longest_run / n, s.count("-") + s.count("_"), float(s.startswith("-----BEGIN")),
+        float(any(x in before[-50:].lower() for x in STEMS)), total(_BRACKETS) / n, total(_MARKS) / n, float(s.count(".")), float(s[0] in "$<{[(*%" or "env" in s.lower()),
     ]
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Spans of key-like strings with a digit or letters of both cases, and of private-key blocks; from left to right, without overlap."""
+    """Spans, each once and from left to right, that the forest is to judge; null and empty texts have none.
+
+    They are private-key blocks; values of any length and signs up to a space, a closing quote or a separator, that a name with one of STEMS is set to; key-like strings with a digit or
+    letters of both cases; three or more such parts with dots between; long words with letters of both cases, digits and other marks.
+    """
     if not text:
         return []
     blocks = [m.span() for m in _BLOCK.finditer(text)] if "PRIVATE KEY" in text else []
-    out, at = list(blocks), 0
+    out, at = set(blocks), 0
+    low = text.lower()
+    if any(stem in low for stem in STEMS):
+        for m in _VALUE.finditer(text):
+            out.add(m.span(m.lastindex))
     for word in text.split():
-        if len(word) < LEAST:
+        if len(word) < LEAST_MIXED:
             continue
         at = text.index(word, at)
-        for m in _RUN.finditer(word):
-            s, a, b = m.group(), at + m.start(), at + m.end()
-            mixed = any(c.isdigit() for c in s) or (any(c.isupper() for c in s[1:]) and any(c.islower() for c in s))
-            if mixed and not any(x < b and a < y for x, y in blocks):
-                out.append((a, b))
+        if len(word) >= LEAST:
+            for m in (*_RUN.finditer(word), *(_DOTTED.finditer(word) if "." in word else ())):
+                s = m.group()
+                if any(c.isdigit() for c in s) or (any(c.isupper() for c in s[1:]) and any(c.islower() for c in s)):
+                    out.add((at + m.start(), at + m.end()))
+        if any(c in _MARKS for c in word):
+            bare = word.strip("\"'`.,;:()[]{}<>")
+            first = at + word.index(bare)
+            if len(bare) >= LEAST_MIXED and {0, 1, 2} <= set(_classes(bare)) and any(c in _MARKS for c in bare):
+                out.add((first, first + len(bare)))
         at += len(word)
-    return sorted(out)
+    return sorted((a, b) for a, b in out if not any(x <= a and b <= y and (x, y) != (a, b) for x, y in blocks))
 
 
 def generated(n: int = GENERATED, seed: int = SEED) -> list[tuple[str, int, int, int]]:
@@ -127,13 +149,37 @@ def generated(n: int = GENERATED, seed: int = SEED) -> list[tuple[str, int, int,
         lambda: "".join(rng.choice(words).title() for _ in range(rng.randint(3, 6))), lambda: draw("0123456789", rng.randint(16, 24)), lambda: "/".join(rng.choice(words) for _ in range(rng.randint(3, 6))) + "/" + str(rng.randint(1, 999)),
         lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(7, 12))).title() + rng.choice(("", "-")) + "".join(rng.choice(syllables) for _ in range(3)).title(), lambda: rng.choice("xX0A") * rng.randint(16, 40) + "1", lambda: "YOUR_" + "_".join(rng.choice(words).upper() for _ in range(3)) + "_1", lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}-{rng.randint(10, 59)}-{rng.randint(10, 59)}",
     )
+    marks = "!@#$%^&*?+=~"
+    spoilt = lambda: "".join(rng.choice((c, c, c.upper(), {"a": "4", "e": "3", "o": "0", "i": "1", "s": "$"}.get(c, c))) for c in "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))))
+    shuffled = lambda parts: "".join(rng.sample(parts, len(parts)))
+    passwords = (
+        lambda: rng.choice(words) + draw("0123456789", rng.randint(1, 4)) + draw(alnum, rng.randint(1, 3)), lambda: spoilt() + draw("0123456789", rng.randint(1, 3)) + rng.choice(marks), lambda: spoilt() + rng.choice(marks) + draw("0123456789", rng.randint(1, 4)),
+        lambda: draw(alnum + marks, rng.randint(8, 24)), lambda: draw(alnum, rng.randint(7, 15)), lambda: shuffled([rng.choice(words).title(), rng.choice(marks), draw("0123456789", rng.randint(2, 4)), rng.choice(marks), rng.choice(words).title()]),
+        lambda: draw(hexa, rng.randint(8, 16)), lambda: rng.choice(words).title() + draw("0123456789", rng.randint(3, 6)),
+    )
+    values = (
+        lambda: rng.choice(words), lambda: rng.choice(words) + rng.choice((".", ",", ")", "")), lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))), lambda: rng.choice(("null", "None", "true", "false", "required", "string", "str", "optional", "undefined", "yes", "no", "here", "see")),
+        lambda: draw("0123456789", rng.randint(1, 5)), lambda: rng.choice("*xX.-") * rng.randint(3, 14), lambda: "${" + rng.choice(words).upper() + "_" + rng.choice(words).upper() + "}", lambda: "<" + rng.choice(words) + "-" + rng.choice(words) + ">", lambda: "{{" + rng.choice(words) + "." + rng.choice(words) + "}}",
+        lambda: "os.environ[" + rng.choice(words).upper() + "]", lambda: "process.env." + rng.choice(words).upper(), lambda: "get" + rng.choice(words).title() + rng.choice(words).title() + "()", lambda: rng.choice(words) + "." + rng.choice(words) + "." + rng.choice(words), lambda: "/" + rng.choice(words) + "/" + rng.choice(words) + "/" + rng.choice(words),
+        lambda: rng.choice(words) + "_" + rng.choice(words), lambda: draw(alnum, rng.randint(1, 3)), lambda: "https://" + rng.choice(words) + ".example.com/" + rng.choice(words), lambda: "your-" + rng.choice(words) + "-here", lambda: "%(" + rng.choice(words) + ")s",
+    )
+    dotted = (lambda: "eyJ" + draw(alnum, rng.randint(17, 33)) + "." + draw(alnum + "_-", rng.randint(30, 90)) + "." + draw(alnum + "_-", 43), lambda: draw(alnum, 24) + "." + draw(alnum, 8) + "." + draw(alnum + "_-", 27))
+    domains = (lambda: ".".join("".join(rng.choice(syllables) for _ in range(5)) for _ in range(3)) + str(rng.randint(0, 9)), lambda: ".".join(rng.choice(words).title() + rng.choice(words).title() + rng.choice(words).title() for _ in range(3)))
     name = lambda pool: rng.choice(sorted(pool))
+    given = lambda: rng.choice((f"{rng.choice(STEMS)} = \"", f"{rng.choice(STEMS)}: ", f"{rng.choice(STEMS).upper()}=", f'"{rng.choice(STEMS)}": "', f"{rng.choice(words)}_{rng.choice(STEMS)} = '", f"{rng.choice(STEMS)}: '"))
     key_heads = (lambda: f'{name(KEY_WORDS)} = "', lambda: f"{name(KEY_WORDS)}: ", lambda: f"{name(KEY_WORDS).upper()}_KEY=", lambda: f"Authorization: Bearer ", lambda: f"my {name(KEY_WORDS)} is ", lambda: f'"{name(KEY_WORDS)}": "', lambda: f"{name(KEY_WORDS)} ")  # noqa: F541
     plain_heads = (lambda: f"{name(PLAIN_WORDS)} ", lambda: f"{name(PLAIN_WORDS)}: ", lambda: f'{name(PLAIN_WORDS)} = "', lambda: "https://example.com/" + rng.choice(words) + "/", lambda: "", lambda: "", lambda: "./")
     out = []
     for _ in range(n):
-        good = rng.random() < 0.5
-        if good:
+        good, kind = rng.random() < 0.5, rng.random()
+        if kind < 0.3:  # a value of a name for secrets
+            body, head = rng.choice(passwords if good else values)(), given()
+        elif kind < 0.36:
+            body, head = rng.choice(dotted if good else domains)(), rng.choice((*key_heads, lambda: "") if good else plain_heads)()
+        elif kind < 0.4:  # a word of all kinds of signs, with no name
+            body = draw(alnum + marks, rng.randint(14, 30)) + "aZ7!" if good else "https://" + rng.choice(words) + ".example.com/" + rng.choice(words).title() + "?" + rng.choice(words) + "=" + str(rng.randint(0, 99))
+            head = ""
+        elif good:
             body, head = rng.choice(secrets)(), rng.choice(key_heads)()
             if body.startswith(PREFIXES) and rng.random() < 0.4:
                 head = ""
@@ -144,7 +190,7 @@ def generated(n: int = GENERATED, seed: int = SEED) -> list[tuple[str, int, int,
         lead = prose(rng.randint(1, 12)) + " "
         if rng.random() < 0.2:
             lead = ""
-        tail = ('"' if head.endswith('"') else "") + " " + prose(rng.randint(1, 8))
+        tail = (head[-1:] if head.endswith(("'", '"')) else "") + " " + prose(rng.randint(1, 8))
         out.append((lead + head + body + tail, len(lead + head), len(lead + head + body), int(good)))
     return out
 
@@ -154,26 +200,36 @@ def default_forest() -> Forest:
     return train(generated())
 
 
-def train(findings: list[tuple[str, int, int, int]]) -> Forest:
-    """A forest from labelled findings (text, start, end, label)."""
-    findings = findings[:MAX_FINDINGS]
+def train(findings: list[tuple[str, int, int, int]], max_findings: int = MAX_FINDINGS, seed: int = SEED) -> Forest:
+    """A forest from labelled findings (text, start, end, label); of more than max_findings, those with the least seeded hashes."""
+    if len(findings) > max_findings:
+        findings = sorted(findings, key=lambda f: (xxhash.xxh64_intdigest(f"{f[1]}:{f[2]}:{f[0]}".encode("utf-8", "surrogatepass"), seed), f))[:max_findings]
     x = np.array([features(t, a, b) for t, a, b, _ in findings], dtype=float)
     return Forest().fit(x, np.array([label for *_, label in findings], dtype=float))
 
 
 def find(text: str | None, forest: Forest, threshold: float = 0.5) -> tuple[int, list[tuple[int, int, float]]]:
-    """Number of candidates of a whole text, and (start, end, score) of those the forest keeps."""
+    """Number of candidates of a whole text, and (start, end, score) of those the forest keeps, from left to right; where these overlap, they are one, with the best score."""
     spans = candidates(text)
     if not spans:
         return 0, []
     p = forest.predict(np.array([features(text, a, b) for a, b in spans]))
-    return len(spans), [(a, b, round(float(s), 4)) for (a, b), s in zip(spans, p) if s >= threshold]
+    kept: list[tuple[int, int, float]] = []
+    for (a, b), score in zip(spans, p):
+        if score < threshold:
+            continue
+        if kept and a < kept[-1][1]:
+            kept[-1] = (kept[-1][0], max(b, kept[-1][1]), max(kept[-1][2], round(float(score), 4)))
+        else:
+            kept.append((a, b, round(float(score), 4)))
+    return len(spans), kept
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, n_candidates, secrets array<struct<start, end, score>>) for every row of docs; code points, end exclusive.
 
-    Null and empty texts have no candidates. Repeated rows each give a row; an empty table gives none.
+    Null and empty texts have no candidates. Texts are scanned whole, in time that grows with their length. Scores that tie with the threshold are kept. Repeated rows each give a row; an
+    empty table gives none; other columns play no part.
     """
     forest = forest or default_forest()
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -193,7 +249,7 @@ def masked(text: str | None, forest: Forest, threshold: float = 0.5, mask: str =
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, mask: str = MASK) -> DataFrame:
-    """docs with every secret in text replaced by mask, and n_chars, where there is such a column, counted anew."""
+    """docs with every secret in text replaced by mask, and n_chars, where there is such a column, counted anew; null texts stay null, rows and columns as they are."""
     forest = forest or default_forest()
 
     @F.pandas_udf("string")
