@@ -142,7 +142,7 @@ def generated(n: int = GENERATED, seed: int = SEED) -> list[tuple[str, int, int,
     b64 = alnum + "+/"
     secrets = (
         lambda: draw(hexa, rng.choice((32, 40, 40, 64))), lambda: "AKIA" + draw(alnum[26:], 16), lambda: "ghp_" + draw(alnum, 36), lambda: "sk_live_" + draw(alnum, 24),
-        lambda: draw(b64, 40), lambda: draw(alnum, rng.randint(20, 48)), lambda: "xoxb-" + draw("0123456789", 12) + "-" + draw(alnum, 24), lambda: "eyJ" + draw(b64, rng.randint(30, 120)), lambda: draw(b64, 43) + "=", lambda: "AIza" + draw(alnum + "_-", 35),
+        lambda: draw(b64, 40), lambda: draw(alnum, rng.randint(20, 48)), lambda: "xoxb-" + draw("0123456789", 12) + "-" + draw(alnum, 24), lambda: "eyJ" + draw(b64, rng.randint(30, 120)), lambda: draw(b64, 43) + "=", lambda: "AIza" + draw(alnum + "_-", 35), lambda: draw(b64, int(2 ** rng.uniform(6, 11))),
     )
     plain = (
         lambda: draw(hexa, 40), lambda: draw(hexa, 32), lambda: draw(hexa, 64), lambda: "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), lambda: "_".join(rng.choice(words) for _ in range(rng.randint(3, 6))) + str(rng.randint(0, 99)),

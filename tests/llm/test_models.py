@@ -342,7 +342,8 @@ def test_secrets_of_every_length_and_sign():
         assert found(text) == [secret or text.split()[1]]
     for text in ("the password: required", "token: none", "a secret: the garden", "password = ${DB_PASSWORD}", "see https://docs.example.com/Guide?page=12 for more"):
         assert found(text) == []
-    long = "token = " + "".join(random.Random(1).choice("abcdefABCDEF0123456789+/") for _ in range(20_000))
+    rng = random.Random(1)
+    long = "token = " + "".join(rng.choice("abcdefABCDEF0123456789+/") for _ in range(20_000))
     assert found(long[:600]) == [long[8:600]]
     assert secrets.candidates(long) == [(8, len(long))] and len(set(map(tuple, (secrets.features(long, 8, len(long)), secrets.features(long[:9000] + "z" * 2000 + long[11_000:], 8, len(long)))))) == 2
 
