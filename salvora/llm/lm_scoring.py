@@ -3,10 +3,10 @@
 S(w2 | w1) = c(w1 w2) / c(w1) where the pair occurs at least min_count times in the corpus, else backoff * c(w2) / N; a text's first word has
 c(w) / N. All counts are over all documents. A document's score is the sum of ln S over its words.
 
-N-grams are 64-bit hashes. Exploded pairs are dealt by a hash to buckets, where those of a bucket are counted and scored together; they travel as packed
-columns, as a row for each would cost several times the input. A pair goes by its first word, so that the bucket also has c(w1). Words that
-make up at least 1 / HEAVY of all words are at most HEAVY in number, by that definition: their counts are broadcast, and their pairs
-are dealt by both words, so no word's pairs meet in one task. Pairs that back off to another word are joined with the unigram table, dealt by hash.
+N-grams are 64-bit hashes. Documents are taken in chunks of bounded numbers of words. A chunk counts its words and pairs first, and sends each distinct one once, with its count, to the
+bucket its hash names; a bucket sums the counts of all chunks, which are its part of the n-gram tables, and answers every chunk with the totals of
+what that asked for. What a frequent word or pair puts into one task is one number for each chunk, however often it occurs. The chunk's documents wait where the answers meet them,
+as places in the chunk's list of pairs; there every pair is scored and summed for its document. All of it travels as packed columns, as a row for each n-gram would cost several times the input.
 """
 
 from __future__ import annotations
@@ -22,13 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salvora.session import cut
-
 MIN_COUNT, BACKOFF = 2, 0.4
-HEAVY = 8192
-#: Words of one chunk of documents, documents of one chunk, words that a worker remembers hashes of, pairs of a bucket.
-CHUNK_WORDS, CHUNK_DOCUMENTS, KNOWN_WORDS, BUCKET_PAIRS = 1_000_000, 60_000, 300_000, 1_000_000
-START, END = np.uint64(2**64 - 2), np.uint64(2**64 - 1)
+#: Words of one chunk of documents, documents of one chunk, words that a worker remembers hashes of, words of a bucket.
+CHUNK_WORDS, CHUNK_DOCUMENTS, KNOWN_WORDS, BUCKET_WORDS = 1_000_000, 60_000, 300_000, 1_000_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -48,7 +44,7 @@ class Hasher:
             if h is None:
                 if len(known) >= KNOWN_WORDS:
                     known.clear()
-                h = known[word] = min(xxhash.xxh64_intdigest(word), 2**64 - 3)
+                h = known[word] = xxhash.xxh64_intdigest(word)
             out.append(h)
         return out
 
@@ -75,80 +71,75 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-class Heavy:
-    """The frequent words, by hash, with their counts; START and END are among them."""
-
-    def __init__(self, counts: dict[int, int]):
-        pairs = sorted({**counts, int(START): 0, int(END): 0}.items())
-        self.hashes = np.array([h for h, _ in pairs], dtype=np.uint64)
-        self.counts = np.array([c for _, c in pairs], dtype=np.float64)
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Position of each hash, and whether it is there at all."""
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return at, self.hashes[at] == h
-
-
-_PAIRS = ("<u8", "<u4", "<u2", "<u8", "<u2")
-
-
-def pack_pairs(first: np.ndarray, second: np.ndarray, doc: np.ndarray, heavy: Heavy) -> bytes:
-    """Pairs sorted by their first word: each first word once with its number of pairs; heavy second words by position."""
-    edge = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-    at, known = heavy.find(second)
-    return pack(first[edge], np.diff(np.r_[edge, len(first)]).astype("<u4"), np.where(known, at + 1, 0).astype("<u2"), second[~known], doc.astype("<u2"))
-
-
-def unpack_pairs(blob: bytes, heavy: Heavy) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, runs, at, rare, doc = unpack(blob, *_PAIRS)
-    second = heavy.hashes[np.maximum(at.astype(np.int64) - 1, 0)]
-    second[at == 0] = rare
-    return np.repeat(words, runs), second, doc
-
-
-def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    keys, inverse = np.unique(key, return_inverse=True)
-    return keys, *(np.bincount(inverse, v, len(keys)) for v in values)
-
-
 def _log(x: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(x, 1e-300))
 
 
-def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF) -> DataFrame:
+class Chunk:
+    """Words and pairs of some texts: distinct ones in the order of their buckets, and where the texts have them."""
+
+    def __init__(self, texts: list[list[int]]):
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        words = np.concatenate([np.array(t, dtype=np.uint64) for t in texts] or [np.empty(0, np.uint64)])
+        self.words, at = np.unique(words, return_inverse=True)
+        self.word_counts = np.bincount(at, minlength=len(self.words))
+        starts = np.cumsum(sizes) - sizes
+        self.firsts = at[starts[sizes > 0]]  # of texts that have a word
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        follows = np.ones(len(words), dtype=bool)
+        follows[starts[sizes > 0]] = False
+        second = np.flatnonzero(follows)
+        code, which = np.unique(at[second - 1].astype(np.int64) * len(self.words) + at[second], return_inverse=True)
+        self.first, self.second = np.divmod(code, max(1, len(self.words)))
+        self.runs = np.bincount(which, minlength=len(code))
+        self.docs = doc[second][np.argsort(which, kind="stable")]
+
+    def pack(self) -> tuple[bytes, ...]:
+        """All but the counts, for the place where the answers come."""
+        per_word = np.bincount(self.first, minlength=len(self.words))
+        return pack(self.words, per_word.astype("<u4"), (self.second & 0xFFFF).astype("<u2"), (self.second >> 16).astype("<u2"), self.runs.astype("<u4"), self.docs.astype("<u2"), self.firsts.astype("<u4"))
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> Chunk:
+        new = cls.__new__(cls)
+        new.words, per_word, low, high, new.runs, docs, new.firsts = unpack(blob, "<u8", "<u4", "<u2", "<u2", "<u4", "<u2", "<u4")
+        new.first = np.repeat(np.arange(len(new.words)), per_word)
+        new.second = low.astype(np.int64) | high.astype(np.int64) << 16
+        new.docs = docs.astype(np.int64)
+        return new
+
+    def hashes(self) -> np.ndarray:
+        """Of its words and then its pairs."""
+        return np.concatenate([_mix(self.words), _mix(_mix(self.words[self.first]) + self.words[self.second] * np.uint64(0xC2B2AE3D27D4EB4F))])
+
+    def order(self, hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams' order by bucket and then words, pairs and hashes, and their buckets in it."""
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        by = np.lexsort((hashes, np.arange(len(hashes)) >= len(self.words), bucket))
+        return by, bucket[by]
+
+
+def _cuts(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of the runs of equal values."""
+    edges = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.empty(0, int)
+    return list(zip(edges.tolist(), [*edges[1:].tolist(), len(sorted_values)]))
+
+
+def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACKOFF, chunk_words: int = CHUNK_WORDS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """(doc_id, n_words, n_backoff, log_score) for every row of docs (doc_id, text).
 
     n_backoff counts the words after the first whose pair is too rare. log_score is the sum of ln S, null for texts without words, null and
-    empty ones included. Repeated rows each give a row and each count in the corpus; an empty table gives no rows.
+    empty ones included. Very long texts make a chunk of their own. Repeated rows each give a row and each count in the corpus; an empty table gives no rows; other columns play no part.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, found = Hasher(), []
-
-        def put() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(found), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-        held = 0
-        for batch in batches:
-            for text in batch.column(0):
-                found.append(np.array(hashed(text.as_py()), dtype=np.uint64))
-                held += len(found[-1])
-                if held >= 4 * CHUNK_WORDS:
-                    yield put()
-                    found, held = [], 0
-        if found:
-            yield put()
-
-    unigrams = cut(docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
-    total = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = unigrams.filter(F.col("n") * HEAVY >= total).collect()  # at most HEAVY rows, as n / total sums to one
-    heavy = Heavy({int(r.h) % 2**64: r.n for r in frequent})
-    spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_PAIRS))
+    total = docs.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_words))
     log_total, log_backoff = float(np.log(max(total, 1))), float(np.log(backoff))
 
+    def place(chunk: np.ndarray) -> np.ndarray:
+        """Where the documents of chunks wait: below zero, where buckets are not."""
+        return -1 - (_mix(chunk.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, part, number = Hasher(), TaskContext.get().partitionId(), 0
         ids: list = []
@@ -157,130 +148,77 @@ def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BACK
 
         def put() -> pa.RecordBatch:
             nonlocal ids, texts, held, number
-            chunk, sizes = part << 24 | number, np.array([len(t) for t in texts])
-            words = np.concatenate([np.array([int(START), *t, int(END)], dtype=np.uint64) for t in texts if t] or [np.empty(0, np.uint64)])
-            last = words == END
-            first, second = words[:-1][~last[:-1]], words[1:][~last[:-1]]
-            doc = np.repeat(np.arange(len(texts)), np.where(sizes, sizes + 1, 0))
-            key = np.where(heavy.find(first)[1], _mix(first) ^ second, first)
-            bucket = (_mix(key) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((first, bucket))
-            first, second, doc, bucket = first[order], second[order], doc[order], bucket[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, int)
-            rows = [(int(bucket[a]), chunk, pack_pairs(first[a:b], second[a:b], doc[a:b], heavy)) for a, b in zip(cuts, [*cuts[1:], len(bucket)])]
+            own, chunk = Chunk(texts), part << 24 | number
+            hashes, counts = own.hashes(), np.concatenate([own.word_counts, own.runs])
+            order, bucket = own.order(hashes, buckets)
+            hashes, counts, pair = hashes[order], counts[order], order >= len(own.words)
+            rows = [(int(bucket[a]), chunk, pack(hashes[a:b], counts[a:b].astype("<u4"), np.array([np.count_nonzero(~pair[a:b])], "<u4"))) for a, b in _cuts(bucket)]
             null = np.array([i is None for i in ids])
-            rows.append((-1 - chunk % buckets, chunk, pack(np.array([i or 0 for i in ids], "<i8"), null.astype("<u1"), sizes.astype("<i8"))))
+            named = pack(np.array([i or 0 for i in ids], "<i8"), null.astype("<u1"), np.array([len(t) for t in texts], "<i8"))
+            rows.append((int(place(np.array([chunk]))[0]), chunk, len(named).to_bytes(8, "little") + named + own.pack()))
             ids, texts, held, number = [], [], 0, number + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "chunk", "pairs"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["key", "chunk", "packed"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 ids.append(doc_id.as_py())
                 texts.append(hashed(text.as_py()))
                 held += len(texts[-1])
-                if held >= CHUNK_WORDS or len(ids) >= CHUNK_DOCUMENTS:
+                if held >= chunk_words or len(ids) >= CHUNK_DOCUMENTS:
                     yield put()
         if ids:
             yield put()
 
-    dealt = docs.mapInArrow(deal, "bucket bigint, chunk bigint, pairs binary")
-
-    def counted(pdf: pd.DataFrame):
-        """Of one bucket: chunks, place of each pair's document, value of the pair, whether it backs off, whether it waits for c(w2), and w2."""
-        parts = [unpack_pairs(b, heavy) for b in pdf["pairs"]]
-        first, second = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        place = np.concatenate([p[2].astype(np.int64) | k << 16 for k, p in enumerate(parts)])
-        order = np.lexsort((second, first))
-        first, second, place = first[order], second[order], place[order]
-        new_first = np.r_[True, first[1:] != first[:-1]]
-        new_pair = new_first | np.r_[True, second[1:] != second[:-1]]
-        spread = lambda new: np.diff(np.r_[np.flatnonzero(new), len(new)])[np.cumsum(new) - 1]
-        pairs, singles = spread(new_pair).astype(float), spread(new_first).astype(float)
-        at, known = heavy.find(first)
-        singles = np.where(known, heavy.counts[at], singles)
-        at2, known2 = heavy.find(second)
-        rare = (pairs < min_count) | (first == START)
-        value = np.where(rare, log_backoff + _log(heavy.counts[at2]) - log_total, _log(pairs) - _log(singles))
-        counts = second != END
-        return [x[counts] for x in (place, value, rare & (first != START), rare & ~known2, second)]
-
-    def to_docs(chunks: np.ndarray, which: np.ndarray, idx: np.ndarray, score: np.ndarray, backs: np.ndarray) -> pd.DataFrame:
-        """Sums for documents, packed by where their chunks' documents meet; one row for each such place."""
-        place = (_mix(chunks.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[which]
-        order = np.argsort(place, kind="stable")
-        place, which, idx, score, backs = place[order], which[order], idx[order], score[order], backs[order]
-        cuts, rows = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else [], []
-        for a, b in zip(cuts, [*cuts[1:], len(place)]):
-            own, at = np.unique(which[a:b], return_inverse=True)
-            rows.append((int(place[a]), False, pack(chunks[own].astype("<i8"), at.astype("<u4"), idx[a:b].astype("<u2"), score[a:b].astype("<f8"), backs[a:b].astype("<u4"))))
-        return pd.DataFrame(rows, columns=["place", "names", "packed"])
-
-    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        chunks = pdf["chunk"].to_numpy("<i8")
-        if key[0] < 0:
-            places = _mix(chunks.view(np.uint64)) % np.uint64(buckets)
-            rows = [(int(p), True, pack(np.array([c]), *unpack(blob, "<i8", "<u1", "<i8"))) for p, c, blob in zip(places, chunks, pdf["pairs"])]
-            return pd.DataFrame(rows, columns=["place", "names", "packed"])
-        place, value, backs, waits, _ = counted(pdf)
-        docs_at, score, n = _sum_by(place, np.where(waits, 0.0, value), backs)
-        return to_docs(chunks, docs_at >> 16, docs_at & 0xFFFF, score, n)
-
-    def waiting(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """A bucket's totals of the n-grams of each chunk, packed by where the chunks' documents wait."""
         rows = []
         if key[0] >= 0:
-            place, _, _, waits, second = counted(pdf)
-            place, second = place[waits], second[waits]
-            bucket = second.view(np.int64) % buckets
-            order = np.lexsort((second, bucket))
-            place, second, bucket = place[order], second[order], bucket[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+            asked = [unpack(b, "<u8", "<u4", "<u4") for b in pdf["packed"]]
+            size, words = np.array([len(h) for h, *_ in asked]), np.array([int(w[0]) for *_, w in asked])
+            pair = np.concatenate([np.arange(n) >= w for n, w in zip(size, words)])
+            hashes, own = np.concatenate([h for h, *_ in asked]), np.concatenate([c for _, c, _ in asked])
+            total_of = np.empty(len(hashes))
+            for kind in (pair, ~pair):  # a word and a pair are never one, whatever their hashes
+                distinct, at = np.unique(hashes[kind], return_inverse=True)
+                total_of[kind] = np.bincount(at, own[kind], len(distinct))[at] if len(distinct) else 0
+            ends = np.cumsum(size)
             chunks = pdf["chunk"].to_numpy("<i8")
-            for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-                own, which = np.unique(place[a:b] >> 16, return_inverse=True)
-                rows.append((int(bucket[a]), pack(chunks[own], which.astype("<u4"), (place[a:b] & 0xFFFF).astype("<u2"), second[a:b])))
-        return pd.DataFrame(rows, columns=["bucket", "words"])
-
-    def joined(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("u")
-        hashes, counts = right["u"].to_numpy(), right["n"].to_numpy(float)
+            to = place(chunks)
+            by = np.argsort(to, kind="stable")
+            for a, b in _cuts(to[by]):
+                some = by[a:b]
+                rows.append((int(to[some[0]]), key[0], pack(chunks[some], size[some].astype("<u4"), np.concatenate([total_of[ends[i] - size[i] : ends[i]] for i in some]).astype("<u8"))))
+        return pd.DataFrame(rows, columns=["key", "bucket", "totals"])
+
+    def finish(key: tuple, waiting: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        """The rows of the documents that wait in one place."""
         out = []
-        for blob in left["words"]:
-            chunks, which, idx, second = unpack(blob, "<i8", "<u4", "<u2", "<u8")
-            value = log_backoff + _log(counts[np.searchsorted(hashes, second.view(np.int64))]) - log_total
-            at, score = _sum_by(which.astype(np.int64) << 16 | idx, value)
-            out.append((chunks, at >> 16, at & 0xFFFF, score))
-        if not out:
-            return pd.DataFrame({"place": [], "names": [], "packed": []})
-        shift = np.cumsum([0, *(len(c) for c, *_ in out)])
-        chunks, own = np.unique(np.concatenate([c for c, *_ in out]), return_inverse=True)
-        which = own[np.concatenate([w + k for (_, w, *_), k in zip(out, shift)])]
-        at, score = _sum_by(which.astype(np.int64) << 16 | np.concatenate([i for *_, i, _ in out]), np.concatenate([v for *_, v in out]))
-        return to_docs(chunks, at >> 16, at & 0xFFFF, score, np.zeros(len(at)))
-
-    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """The rows of the documents that meet in one place."""
-        named = [unpack(b, "<i8", "<i8", "<u1", "<i8") for b in pdf["packed"][pdf["names"]]]
-        named.sort(key=lambda x: int(x[0][0]))
-        chunks = np.array([int(x[0][0]) for x in named], dtype=np.int64)
-        first = np.cumsum([0, *(len(x[1]) for x in named)])
-        score, backs = np.zeros(first[-1]), np.zeros(first[-1])
-        for blob in pdf["packed"][~pdf["names"]]:
-            own, which, idx, s, n = unpack(blob, "<i8", "<u4", "<u2", "<f8", "<u4")
-            at = first[np.searchsorted(chunks, own)][which] + idx
-            score[at] += s  # a document comes once in a blob
-            backs[at] += n
-        ids, null, sizes = (np.concatenate([x[k] for x in named]) for k in (1, 2, 3))
-        doc_id = pd.Series(pd.array(ids, "Int64")).mask(null == 1)
-        # a first word has no backoff weight
-        return pd.DataFrame({"doc_id": doc_id, "n_words": sizes, "n_backoff": backs.astype(np.int64), "log_score": np.where(sizes > 0, score - log_backoff, np.nan)})
-
-    by_bucket = dealt.groupBy("bucket")
-    packed = "place bigint, names boolean, packed binary"
-    own = by_bucket.applyInPandas(sums, packed)
-    wait = by_bucket.applyInPandas(waiting, "bucket bigint, words binary")
-    table = unigrams.select(F.col("h").alias("u"), "n", F.pmod("h", F.lit(buckets)).alias("bucket"))
-    late = wait.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(joined, packed)
-    scored = own.unionByName(late).groupBy("place").applyInPandas(finish, "doc_id bigint, n_words bigint, n_backoff bigint, log_score double")
+        if key[0] < 0:
+            found: dict[int, list[np.ndarray]] = {}
+            for blob in answers.sort_values("bucket")["totals"]:
+                chunks, size, totals = unpack(blob, "<i8", "<u4", "<u8")
+                for chunk, some in zip(chunks.tolist(), np.split(totals, np.cumsum(size)[:-1])):
+                    found.setdefault(chunk, []).append(some)
+            for chunk, blob in zip(waiting["chunk"], waiting["packed"]):
+                cut_at = 8 + int.from_bytes(blob[:8], "little")
+                ids, null, sizes = unpack(blob[8:cut_at], "<i8", "<u1", "<i8")
+                own = Chunk.unpack(blob[cut_at:])
+                hashes = own.hashes()
+                totals = np.empty(len(hashes))
+                if len(hashes):
+                    totals[own.order(hashes, buckets)[0]] = np.concatenate(found[int(chunk)])
+                words, pairs = totals[: len(own.words)], totals[len(own.words) :]
+                rare = pairs < min_count
+                value = np.where(rare, log_backoff + _log(words[own.second]) - log_total, _log(pairs) - _log(words[own.first]))
+                score = np.bincount(own.docs, np.repeat(value, own.runs), len(ids))
+                score[sizes > 0] += _log(words[own.firsts]) - log_total
+                backs = np.bincount(own.docs, np.repeat(rare, own.runs), len(ids))
+                out.append(pd.DataFrame({"doc_id": pd.Series(pd.array(ids, "Int64")).mask(null == 1), "n_words": sizes, "n_backoff": backs.astype(np.int64), "log_score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], "Int64"), "n_words": [], "n_backoff": [], "log_score": []})
+
+    dealt = docs.mapInArrow(deal, "key bigint, chunk bigint, packed binary").groupBy("key")
+    answers = dealt.applyInPandas(count, "key bigint, bucket bigint, totals binary").groupBy("key")
+    scored = dealt.cogroup(answers).applyInPandas(finish, "doc_id bigint, n_words bigint, n_backoff bigint, log_score double")
     return scored.withColumn("log_score", F.when(F.col("n_words") > 0, F.col("log_score")))
 
 

@@ -181,22 +181,32 @@ def slow_scores(texts):
     return out
 
 
-@pytest.mark.parametrize("heavy", [lm_scoring.HEAVY, 12])
-def test_lm_scores_match_brute_force(spark, monkeypatch, heavy):
-    monkeypatch.setattr(lm_scoring, "HEAVY", heavy)
+@pytest.mark.parametrize(("chunk_words", "bucket_words"), [(lm_scoring.CHUNK_WORDS, lm_scoring.BUCKET_WORDS), (70, 90)])
+def test_lm_scores_match_brute_force(spark, chunk_words, bucket_words):
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = [" ".join(rng.choice(vocabulary[: rng.choice((3, 30, 300))]) for _ in range(rng.randint(1, 60))) for _ in range(200)]
     texts += [None, "", " \n ", "Single", "the the the the", texts[0], texts[0], "x " * 3000]
     rows = [(i if i % 17 else None, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).withColumn("chunk", F.lit("clash")).withColumn("n", F.lit(1))
-    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_backoff, None if r.log_score is None else round(r.log_score, 6)) for r in lm_scoring.lm_scores(df).collect()), key=str)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_backoff, None if r.log_score is None else round(r.log_score, 6)) for r in lm_scoring.lm_scores(df, chunk_words=chunk_words, bucket_words=bucket_words).collect()), key=str)
     want = sorted(((i is None, i or 0, n, b, None if s is None else round(s, 6)) for (i, _), (n, b, s) in zip(rows, slow_scores(texts))), key=str)
     assert [g[:4] for g in got] == [w[:4] for w in want]
     assert all((g[4] is None) == (w[4] is None) and (g[4] is None or abs(g[4] - w[4]) < 1e-4) for g, w in zip(got, want))
     assert lm_scoring.op6_lm_scoring(df.limit(0)).count() == 0
 
 
+def test_lm_chunk_sends_a_pair_once():
+    """However often a pair occurs, a chunk asks for it once, and takes the answer to all documents that have it."""
+    texts = [[7, 9] * 500, [], [9, 7, 9], [5]]
+    chunk = lm_scoring.Chunk(texts)
+    assert len(chunk.hashes()) == 3 + 2 and sorted(chunk.runs.tolist()) == [500, 501] and chunk.firsts.tolist() == [1, 2, 0]
+    again = lm_scoring.Chunk.unpack(chunk.pack())
+    for name in ("words", "first", "second", "runs", "docs", "firsts"):
+        assert np.array_equal(getattr(chunk, name), getattr(again, name)), name
+    assert np.array_equal(chunk.hashes(), again.hashes())
+
+
 # ------------------------------------------------------------------ decontamination
 
 
