@@ -54,6 +54,23 @@ TEXTS = (
     ("Zlib", _ZLIB),
 )
 
+# Digests of the canonical forms of long licence texts as published.
+DIGESTS = (
+    ("Apache-2.0", "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"),
+    ("GPL-2.0", "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+)
+
 # Notices of one line. Each has the word license, which spares the other lines of a text.
 NOTICES = (
     ("MIT", "Released under the MIT License."),
@@ -75,7 +92,10 @@ NOTICES = (
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
 )
 
-_COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# A line with a word or sign for copyright first and a year, another sign or `by` after it; those that only begin a wrapped line with the word stay. The first is for engines whose $ knows more line ends.
+_LINE = r"^[ \t#*/;%!<>-]*(?:(?:copyright|\(c\)|©)[^\n]*(?:19|20)[0-9][0-9][^\n]*|copyright[ \t]*(?:\(c\)|©|by )[^\n]*|©[^\n]*|all rights reserved[ \t\r.*/]*)$"
+_COPYRIGHT, _COPYRIGHT_SQL = "(?md)" + _LINE, "(?m)" + _LINE
+_HAS_COPYRIGHT = r"copyright|\(c\)|©|all rights"
 _MARKS = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f“”‘’–—©®«»]+"
 _VARIANT = "(^| )(" + "|".join(a for a, _ in EQUIVALENT) + ")( |$)"
 _HINT = "(?i)licen[cs]e"
@@ -83,7 +103,9 @@ _HINT = "(?i)licen[cs]e"
 
 def canonical(text: Column) -> Column:
     """The canonical form: A-Z lower-cased, copyright lines gone, runs of punctuation and space one space, equivalent spellings one."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), _COPYRIGHT, "\n"), _MARKS, " "))
+    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    bare = F.when(F.regexp_like(low, F.lit(_HAS_COPYRIGHT)), F.regexp_replace(low, _COPYRIGHT, "")).otherwise(low)
+    plain = F.trim(F.regexp_replace(bare, _MARKS, " "))
     spelt = plain
     for word, other in EQUIVALENT:
         for _ in range(2):  # neighbours share the space between them
@@ -91,17 +113,18 @@ def canonical(text: Column) -> Column:
     return F.when(F.regexp_like(plain, F.lit(_VARIANT)), spelt).otherwise(plain)
 
 
-def known(spark, texts: tuple = TEXTS) -> DataFrame:
-    """(license, digest) of the known texts, one row for each digest."""
-    frame = spark.createDataFrame(list(texts), "license string, text string")
-    return frame.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
+def known(spark, texts: tuple = TEXTS, digests: tuple = DIGESTS) -> DataFrame:
+    """(license, digest) of the known texts and digests, one row for each digest."""
+    frame = spark.createDataFrame(list(texts), "license string, text string").select("license", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    given = spark.createDataFrame(list(digests), "license string, digest string")
+    return frame.unionByName(given).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, texts: tuple = TEXTS, notices: tuple = NOTICES) -> DataFrame:
     """(doc_id, text_digest, license, notices) for every row of docs.
 
-    license: that of the entire text, else null. notices: licences named by lines that are known notices, each once, in
-    order. Null texts count as empty; an empty text has the digest of the empty string and no licence. Repeated rows each give a row; an
+    license: that of the entire text, also wrapped, quoted in comments or spelt otherwise, else null. notices: licences named by lines that are known notices, each once, in
+    order; the notices are a constant of some tens, so their lines are looked up where they stand. Null texts count as empty; an empty text has the digest of the empty string and no licence. Repeated rows each give a row; an
     empty table gives none.
     """
     spark = docs.sparkSession
@@ -125,8 +148,7 @@ def op3_licenses(docs: DataFrame) -> DataFrame:
 
 def _sql() -> str:
     def canon(x: str) -> str:
-        plain = rf"trim(regexp_replace(regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{_COPYRIGHT}', '\n', 'g'), '{_MARKS}', ' ', 'g'))"
-        plain = plain.replace("'\\n', 'g'", "chr(10), 'g'")
+        plain = rf"trim(regexp_replace(regexp_replace(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{_COPYRIGHT_SQL}', '', 'g'), '{_MARKS}', ' ', 'g'))"
         for word, other in EQUIVALENT:
             for _ in range(2):
                 plain = rf"regexp_replace({plain}, '(^| ){word}( |$)', '\1{other}\2', 'g')"
@@ -134,7 +156,7 @@ def _sql() -> str:
 
     values = lambda rows: ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in rows)
     return f"""
-WITH k AS (SELECT sha256({canon('t')}) AS digest, min(l) AS license FROM (VALUES {values(TEXTS)}) v(l, t) GROUP BY 1),
+WITH k AS (SELECT digest, min(l) AS license FROM (SELECT l, sha256({canon('t')}) AS digest FROM (VALUES {values(TEXTS)}) v(l, t) UNION ALL SELECT * FROM (VALUES {values(DIGESTS)}) w(l, digest)) GROUP BY 1),
 n AS (SELECT DISTINCT sha256({canon('t')}) AS digest, l FROM (VALUES {values(NOTICES)}) v(l, t)),
 d AS (SELECT row_number() OVER () AS r, doc_id, text, sha256({canon('text')}) AS text_digest FROM documents),
 e AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
