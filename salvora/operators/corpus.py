@@ -1,9 +1,11 @@
-"""Corpus analytics: normal forms, character coverage, summaries, digests, pairing and skeletons. All of it stays in the JVM."""
+"""Corpus analytics: normal forms, character coverage, summaries, digests, pairing and skeletons. All but NFKC and coverage, in Arrow batches, stays in the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ from pyspark.sql.types import StringType
 #: Unicode white space, as the engine understands it everywhere; Spark's trim knows only the ASCII space.
 SPACE = r"[\p{Z}\x09-\x0d\x1c-\x1f]"
 #: Characters that do not count in comparisons: white space, controls, rules and boxes.
-IGNORED = r"[\s\x{00A0}\x{3000}\x{0000}-\x{001F}\x{007F}-\x{009F}\x{2500}-\x{259F}]+"
+IGNORED = "".join(map(chr, (*range(0x00, 0x21), *range(0x7F, 0xA1), 0x200B, *range(0x2500, 0x25A0), 0x3000)))
+# Marks that a word processor's export adds, each with a text that every match has in it.
+EXPORT_MARKS = (("&#", "&#[0-9]+;"), ("\\", r"\\+[-–—][0-9]+\\+[-–—]"), ("**", r"\*\*"))
 # The characters that salvaged text may have, as a class, but for the white space among them.
 PLAUSIBLE = r"!-~\x{3001}-\x{30FF}\x{31F0}-\x{31FF}\x{3200}-\x{33FF}\x{4E00}-\x{9FFF}\x{FF00}-\x{FFEF}→←↑↓…◎○●◆☆★※"
 PASS_AT = 0.95
@@ -33,12 +37,16 @@ def trim_tail(text: Column) -> Column:
     return F.regexp_replace(text, f"{SPACE}*[{mark}]({SPACE}|[{mark}])*\\z", "")
 
 
+def without_marks(text: Column) -> Column:
+    """A text without the marks of an export; only texts that may have one are searched."""
+    for hint, mark in EXPORT_MARKS:
+        text = F.when(F.contains(text, F.lit(hint)), F.regexp_replace(text, mark, "")).otherwise(text)
+    return text
+
+
 def strip_for_comparison(text: Column, export: bool = False) -> Column:
-    """A text without the characters that comparisons ignore; export: also without marks that a word processor's export adds. Compose with nfkc() where full-width forms matter."""
-    if export:
-        for mark in ("&#[0-9]+;", r"\\-[0-9]+\\-", r"\*\*"):
-            text = F.regexp_replace(text, mark, "")
-    return F.regexp_replace(text, IGNORED, "")
+    """A text without the characters that comparisons ignore; export: also without the marks of an export. Stays in the JVM; full-width forms are kept."""
+    return F.translate(without_marks(text) if export else text, IGNORED, "")
 
 
 @F.pandas_udf(StringType())
@@ -47,21 +55,45 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
-def _occurrences(text: Column, char: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
+def normal_form(text: Column, export: bool = False) -> Column:
+    """The form in which texts are compared: marks of an export gone, then NFKC, then ignored characters gone."""
+    return strip_for_comparison(nfkc(without_marks(text) if export else text))
+
+
+_IGNORED_UNITS = np.array([ord(c) for c in IGNORED])
+
+
+def _counts(text: str) -> np.ndarray:
+    """How often each UTF-16 unit occurs in the comparable form of a text."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    counts = np.bincount(np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2"))
+    counts[_IGNORED_UNITS[_IGNORED_UNITS < len(counts)]] = 0
+    return counts
+
 
+@F.pandas_udf("double")
+def coverage_of(truth: pd.Series, made: pd.Series) -> pd.Series:
+    """Share of the characters of truth that made has too, as multisets and after NFKC; 1.0 for an empty truth. Linear in the texts."""
 
-def coverage_of(truth: Column, made: Column) -> Column:
-    """Share of the characters of truth that made has too, as multisets; 1.0 for an empty truth. No shuffle: time is the distinct characters by the length."""
-    shared = F.aggregate(F.array_distinct(F.split(truth, "")), F.lit(0).cast("bigint"), lambda acc, c: acc + F.when(c == "", F.lit(0)).otherwise(F.least(_occurrences(truth, c), _occurrences(made, c))).cast("bigint"))
-    return F.when(F.length(truth) == 0, F.lit(1.0)).otherwise(shared.cast("double") / F.length(truth).cast("double"))
+    def share(a: str, b: str) -> float:
+        x, y = _counts(a), _counts(b)
+        total, n = int(x.sum()), min(len(x), len(y))
+        return int(np.minimum(x[:n], y[:n]).sum()) / total if total else 1.0
 
+    return pd.Series([share(a, b) for a, b in zip(truth, made)], dtype="float64")
 
-def coverage(pairs: DataFrame, key: str, truth: str, made: str, normalise: Callable[..., Column] = strip_for_comparison, keep: tuple = ()) -> DataFrame:
-    """(key, *keep, coverage) for every pair; the truth is normalised as an export. Null texts count as empty."""
+
+def coverage(pairs: DataFrame, key: str, truth: str, made: str, keep: tuple = ()) -> DataFrame:
+    """(key, *keep, coverage) for every pair; the truth loses the marks of an export. Null texts count as empty."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    ready = pairs.select(key, *keep, normalise(text(truth), export=True).alias("truth"), normalise(text(made)).alias("made"))
-    return ready.select(key, *keep, coverage_of(F.col("truth"), F.col("made")).alias("coverage"))
+    return pairs.select(key, *keep, coverage_of(without_marks(text(truth)), text(made)).alias("coverage"))
+
+
+def joined_exports(exports: DataFrame, key: str, order: str, text: str, out: str = "text") -> DataFrame:
+    """(key, text): the texts of a document's exports, in order, one after the other on lines of their own."""
+    gathered = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"))))
+    return exports.groupBy(key).agg(F.array_join(F.transform(gathered, lambda e: e["t"]), "\n").alias(out))
 
 
 def summary(scored: DataFrame, total: str = "(all)", pass_at: float = PASS_AT) -> DataFrame:
@@ -110,14 +142,22 @@ def roundtrip_groups(files: DataFrame, payload: Column, container: Column, least
     return grouped.filter(F.col("containers") >= least)
 
 
+@F.pandas_udf(StringType())
+def nfc(texts: pd.Series) -> pd.Series:
+    """Unicode NFC, by which file names are compared."""
+    return texts.str.normalize("NFC")
+
+
 def pair_by_name(docs: DataFrame, exports: DataFrame, folder: str = "folder", base: str = "base") -> DataFrame:
-    """(folder, base, export) where the names are equal or the export's begins with the document's and an underscore.
+    """(folder, base, export) where the names, in NFC, are equal or the export's begins with the document's and an underscore.
 
-    The beginnings of an export's name before its underscores are few, so both cases are one equi-join.
+    The beginnings of an export's name before its underscores are few, so both cases are one equi-join. Names come out as they went in.
     """
-    heads = F.transform(F.filter(F.sequence(F.lit(1), F.length("export")), lambda i: F.substring("export", i, F.lit(1)) == "_"), lambda i: F.substring("export", F.lit(1), i - 1))
-    right = exports.select(F.col(folder).alias("f2"), F.col(base).alias("export")).withColumn("head", F.explode(F.array_distinct(F.concat(F.array("export"), heads))))
-    return docs.select(folder, base).join(right, (F.col(folder) == F.col("f2")) & (F.col(base) == F.col("head"))).select(folder, base, "export").distinct()
+    name = F.col("name")
+    heads = F.transform(F.filter(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1)) == "_"), lambda i: F.substring(name, F.lit(1), i - 1))
+    right = exports.select(F.col(folder).alias("f2"), F.col(base).alias("export"), nfc(F.col(base)).alias("name")).withColumn("head", F.explode(F.array_distinct(F.concat(F.array("name"), heads)))).drop("name")
+    left = docs.select(folder, base, nfc(F.col(base)).alias("own"))
+    return left.join(right, (F.col(folder) == F.col("f2")) & (F.col("own") == F.col("head"))).select(folder, base, "export").distinct()
 
 
 def discover_categories(files: DataFrame, category: Column, is_document: Column, is_export: Column) -> DataFrame:
@@ -126,11 +166,22 @@ def discover_categories(files: DataFrame, category: Column, is_document: Column,
     return found.filter("d and e").select("category")
 
 
-def configured_categories(lines: DataFrame) -> DataFrame:
-    """(category, folder) from lines of a tab-separated file; comments, blanks and short lines are skipped."""
+def configured_categories(lines: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """(category, folder) from lines of a tab-separated file; comments, blanks and short lines are skipped, and with folders (folder) those whose folder is not there."""
     parts = F.split("value", "\t")
     rows = lines.filter(~F.startswith(F.ltrim("value"), F.lit("#")) & ~is_blank(F.col("value"))).filter(F.size(parts) >= 2)
-    return rows.select(trim(parts[0]).alias("category"), trim(parts[1]).alias("folder"))
+    named = rows.select(trim(parts[0]).alias("category"), trim(parts[1]).alias("folder"))
+    return named if folders is None else named.join(folders.select("folder").distinct(), "folder", "left_semi").select("category", "folder")
+
+
+def category_folders(categories: DataFrame, folders: DataFrame, corpus: str, root: str) -> DataFrame:
+    """(category, folder): of each category's path the first that is among folders (folder): as it is, below the corpus, below the root, below the root's parent."""
+    parent = root.rstrip("/").rpartition("/")[0]
+    below = [F.concat(F.lit(base.rstrip("/") + "/"), "folder") for base in (corpus, root, parent)]
+    tried = F.when(F.startswith("folder", F.lit("/")), F.array("folder")).otherwise(F.array(*below))
+    each = categories.select("category", F.posexplode(tried).alias("rank", "folder"))
+    found = each.join(folders.select("folder").distinct(), "folder", "left_semi")
+    return found.groupBy("category").agg(F.min_by("folder", "rank").alias("folder"))
 
 
 def combined_text(sheets: DataFrame, key: str, order: str, name: Column, text: Column, out: str = "text") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salvora.functions.page_grid import COVER, DOT_END, HOLD, LEAST_DOTS, LEAST_EXTENT, SNAP
+
 
 def _gathered(cells: DataFrame, *columns: str) -> DataFrame:
     return cells.groupBy("tbl").agg(F.collect_list(F.struct(*columns)).alias("cells"))
@@ -24,12 +26,11 @@ def slots(cells: DataFrame) -> DataFrame:
 
 
 def padding(cells: DataFrame) -> DataFrame:
-    """(tbl, row_idx, slot) of the slots that no cell of the row covers."""
-    tables = _gathered(cells, "row_idx", "lft", "rgt").withColumn("grid", _grid())
-    rows = tables.select("tbl", "cells", "grid", F.explode(F.array_distinct(F.transform("cells", lambda c: c["row_idx"]))).alias("row_idx"))
-    own = F.filter("cells", lambda c: c["row_idx"] == F.col("row_idx"))
+    """(tbl, row_idx, slot) of the slots that no cell of the row covers. Rows and slots of a table meet where its cells already are."""
+    dealt = cells.select("tbl", "row_idx", "lft", "rgt").repartition("tbl")
+    rows = dealt.groupBy("tbl", "row_idx").agg(F.collect_list(F.struct("lft", "rgt")).alias("own"))
     free = F.filter("grid", lambda g: ~F.exists("own", lambda c: (c["lft"] <= g) & (g <= c["rgt"])))
-    return rows.withColumn("own", own).select("tbl", "row_idx", F.explode(free).alias("slot"))
+    return rows.join(slots(dealt), "tbl").select("tbl", "row_idx", F.explode(free).alias("slot"))
 
 
 def colspans(cells: DataFrame) -> DataFrame:
@@ -71,20 +72,22 @@ def cluster_axis(points: DataFrame, key: list[str], value: str, tolerance: float
     return clustered.groupBy(*key, "cluster").agg(F.count("*").alias("n"), F.avg(value).alias("centre"))
 
 
-def accept_axes(dots: DataFrame, key: list[str], at: Column, solid: Column, least: int = 3, extent: float = 12) -> DataFrame:
+def accept_axes(dots: DataFrame, key: list[str], at: Column, solid: Column, least: int = LEAST_DOTS, extent: float = LEAST_EXTENT) -> DataFrame:
     """(key, dots, solid) of axes with a solid rule, or with enough dots over enough distance."""
     axes = dots.groupBy(*key).agg(F.count("*").alias("dots"), F.bool_or(solid).alias("solid"), (F.max(at) - F.min(at)).alias("__extent"))
     return axes.filter(F.col("solid") | ((F.col("dots") >= least) & (F.col("__extent") >= extent))).drop("__extent")
 
 
-def axis_covers(segments: DataFrame, low: Column, high: Column, slack: float) -> Column:
-    """Whether sorted segments array<struct<a, b>> cover [low, high] but for gaps of at most slack."""
-    reach = F.aggregate(segments, low, lambda acc, s: F.when(s["a"] <= acc + slack, F.greatest(acc, s["b"])).otherwise(acc))
-    return reach >= high - slack
+def axis_covers(solid: Column, dots: Column, low: Column, high: Column) -> Column:
+    """Whether an axis, array<struct<low, high>> of solid rules and of dots, covers [low, high]: one solid rule does, or three dots at least about it from end to end."""
+    whole = F.exists(solid, lambda s: (s["low"] <= low + COVER) & (s["high"] >= high - COVER))
+    near = F.filter(dots, lambda s: (s["high"] >= low - DOT_END) & (s["low"] <= high + DOT_END))
+    first, last = F.array_min(F.transform(near, lambda s: s["low"])), F.array_max(F.transform(near, lambda s: s["high"]))
+    return whole | ((F.size(near) >= LEAST_DOTS) & (first <= low + DOT_END) & (last >= high - DOT_END))
 
 
-def smallest_cells(cells: DataFrame, spans: DataFrame, slack: float = 0.0) -> DataFrame:
-    """(page, span_id, cell_id): the smallest cell that holds the middle of each span; spans without one have none.
+def smallest_cells(cells: DataFrame, spans: DataFrame, slack: float = HOLD) -> DataFrame:
+    """(page, span_id, cell_id): the smallest cell that holds the middle of each span, give or take a point, the first of equals; spans without one have none.
 
     cells: (page, cell_id, x0, y0, x1, y1); spans: (page, span_id, x, y). Joined by page, of which each is small.
     """
@@ -99,11 +102,14 @@ def unassigned(spans: DataFrame, assigned: DataFrame) -> DataFrame:
     return spans.join(assigned.filter("cell_id is not null"), ["page", "span_id"], "left_anti")
 
 
-def touching(cells: DataFrame, slack: float = 1.0) -> DataFrame:
-    """(src, dst) of cells of one page that touch; connected_components of these edges are the tables."""
+def touching(cells: DataFrame, slack: float = SNAP) -> DataFrame:
+    """(src, dst) of cells of one page that share an edge: apart on one axis by no more than slack, and overlapping on the other. connected_components of these edges are the tables."""
     a, b = cells.alias("a"), cells.alias("b")
-    near = (F.col("a.x0") <= F.col("b.x1") + slack) & (F.col("b.x0") <= F.col("a.x1") + slack) & (F.col("a.y0") <= F.col("b.y1") + slack) & (F.col("b.y0") <= F.col("a.y1") + slack)
-    return a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a.cell_id") < F.col("b.cell_id")) & near).select(F.col("a.cell_id").alias("src"), F.col("b.cell_id").alias("dst"))
+    over = lambda lo, hi: (F.col(f"a.{lo}") < F.col(f"b.{hi}")) & (F.col(f"b.{lo}") < F.col(f"a.{hi}"))
+    meet = lambda lo, hi: (F.abs(F.col(f"a.{hi}") - F.col(f"b.{lo}")) <= slack) | (F.abs(F.col(f"b.{hi}") - F.col(f"a.{lo}")) <= slack)
+    x, y = over("x0", "x1"), over("y0", "y1")
+    edge = ~(x & y) & ((meet("x0", "x1") & y) | (meet("y0", "y1") & x))
+    return a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a.cell_id") < F.col("b.cell_id")) & edge).select(F.col("a.cell_id").alias("src"), F.col("b.cell_id").alias("dst"))
 
 
 def anchor_diff(left: DataFrame, right: DataFrame, anchor: str) -> DataFrame:
@@ -113,6 +119,18 @@ def anchor_diff(left: DataFrame, right: DataFrame, anchor: str) -> DataFrame:
     return sides.select(anchor, F.when(F.col("l") & F.col("r"), "match").when(F.col("l"), "missing").otherwise("extra").alias("state"))
 
 
-def band_widths(tables: DataFrame) -> DataFrame:
-    """(tbl, width): the width of the middle span of tables whose spans (array of structs with w, in order) are at least three."""
-    return tables.filter(F.size("spans") >= 3).select("tbl", F.element_at("spans", (F.floor(F.size("spans") / 2) + 1).cast("int"))["w"].alias("width"))
+def anchor_share(diff: DataFrame) -> DataFrame:
+    """One row (matched, expected, percent) of an anchor_diff: how many of the left side's anchors the right has, percent rounded down."""
+    matched, expected = F.count_if(F.col("state") == "match"), F.count_if(F.col("state") != "extra")
+    return diff.agg(matched.alias("matched"), expected.alias("expected"), F.floor(matched * 100 / F.greatest(expected, F.lit(1))).cast("bigint").alias("percent"))
+
+
+def band_widths(rows: DataFrame) -> DataFrame:
+    """(tbl, ord, width): the widths of the middle spans of each table's rows of three spans or more, each once, in the order of first sight from 0.
+
+    rows: (tbl, row_idx, spans), spans an array of structs with w, in order.
+    """
+    middle = F.element_at("spans", (F.floor(F.size("spans") / 2) + 1).cast("int"))["w"]
+    some = rows.filter(F.size("spans") >= 3).select("tbl", F.struct("row_idx", middle.alias("w")).alias("r"))
+    widths = some.groupBy("tbl").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["w"])).alias("widths"))
+    return widths.select("tbl", F.posexplode("widths").alias("ord", "width"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +30,16 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, **conf:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's own setting, a temporary one only where that is unset."""
+    """The folder that driver and executors share: the session's own setting. Only a local session may go without; it gets a temporary folder that goes when the process ends."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="salvora-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="salvora-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
