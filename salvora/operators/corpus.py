@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 #: Unicode white space, as the engine understands it everywhere; Spark's trim knows only the ASCII space.
 SPACE = r"[\p{Z}\x09-\x0d\x1c-\x1f]"
@@ -72,7 +72,7 @@ def _counts(text: str) -> np.ndarray:
     return counts
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def coverage_of(truth: pd.Series, made: pd.Series) -> pd.Series:
     """Share of the characters of truth that made has too, as multisets and after NFKC; 1.0 for an empty truth. Linear in the texts."""
 

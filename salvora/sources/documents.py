@@ -24,6 +24,9 @@ from salvora.sources.compound import CompoundFile
 # The type of these files and its other names.
 CONTENT_TYPE, ALIASES = "application/vnd.justsystems.ichitaro", ("application/x-jtd", "application/x-ichitaro-jtd", "application/jtd")
 SUFFIXES = ("jtd", "jtt", "jttc")
+# Marks of the type in a compound file, and the bytes where they may begin.
+MARKS = (b"SsmgV.01", "DocumentText".encode("utf-16-le"), "JSSlip".encode("utf-16-le"), b"JustCompressedDocument", "JSCompDocument".encode("utf-16-le"), b"-lh5-")
+MARK_FROM, MARK_TO = 512, 65536
 DOCUMENTS = "doc_id string, format string, status string, error_kind string, error_message string, limit_resource string, limit_value bigint, limit_actual bigint, source string, text string, header array<string>, boxes array<string>, notes string, sheets array<string>, n_objects int, combined string, xhtml string, markdown string"
 STREAMS = "doc_id string, ord int, stream_path string, size bigint, content binary, error string"
 ENTRIES = "doc_id string, ord int, kind string, path string, size bigint, child_count int, error string"
@@ -33,15 +36,24 @@ CELLS = "doc_id string, block_idx int, kind string, row_idx int, cell_idx int, l
 OBJECTS = "doc_id string, idx int, name string, content_type string, rel_path string, payload binary"
 
 
-def read_files(spark: SparkSession, path: str, suffixes: tuple = SUFFIXES, limits: Limits | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, rejected) below path: (doc_id, length, content), and the rows of those above the input limit, which are never read."""
+def within_limit(found: DataFrame, limits: Limits | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, rejected) of (path, length, content): (doc_id, length, content) up to the input limit, and errors for what is above it, without its content."""
     limit = (limits or Limits()).input_bytes
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path)
     files = found.filter(F.col("length") <= limit).select(F.col("path").alias("doc_id"), "length", "content")
     rejected = found.filter(F.col("length") > limit).select(F.col("path").alias("doc_id"), F.lit("error").alias("status"), F.lit("ResourceLimit").alias("error_kind"), F.lit("input bytes").alias("limit_resource"), F.lit(limit).cast("bigint").alias("limit_value"), F.col("length").alias("limit_actual"))
     return files, rejected
 
 
+def with_suffix(paths: DataFrame, suffixes: tuple = SUFFIXES) -> DataFrame:
+    """Rows whose path ends with one of the suffixes, in small letters as they are."""
+    return paths.filter(F.regexp_like("path", F.lit(rf"\.(?:{'|'.join(suffixes)})$")))
+
+
+def read_files(spark: SparkSession, path: str, suffixes: tuple = SUFFIXES, limits: Limits | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, rejected) below path: (doc_id, length, content), and the rows of those above the input limit, which are never read."""
+    return within_limit(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path), limits)
+
+
 def _decoded(files: DataFrame, schema: str, rows: Callable[[str, bytes], Iterable[tuple]], batch: int = 64) -> DataFrame:
     """files (doc_id, content) through a decoder; output goes out in batches of bounded numbers of rows."""
     spark_schema: StructType = _parse_datatype_string(schema)
@@ -185,11 +197,13 @@ def formats(files: DataFrame) -> DataFrame:
 
 
 def sniffed(path: Column, content: Column) -> Column:
-    """The type by name and by magic: a compound file with the body's magic between bytes 512 and 65,536."""
+    """The type by name or by magic: a suffix of these files, in small or capital letters, or a compound file with one of the marks at bytes 512 to 65,536."""
     compound = F.startswith(content, F.lit(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"))
-    marked = F.position(F.lit(words.BODY_MAGIC), F.substring(content, 513, 65536 - 512 + len(words.BODY_MAGIC))) > 0
-    kind = F.regexp_extract(path, r"(?i)\.(jtd|jtt|jttc)$", 1)
-    return F.when(compound & (marked | (kind != "")), F.lit(CONTENT_TYPE)).otherwise(F.lit("application/octet-stream"))
+    marked = F.lit(False)
+    for mark in MARKS:
+        marked = marked | (F.position(F.lit(mark), F.substring(content, MARK_FROM + 1, MARK_TO - MARK_FROM + len(mark))) > 0)
+    named = F.regexp_like(path, F.lit(rf"\.(?:{'|'.join(SUFFIXES)}|{'|'.join(SUFFIXES).upper()})$"))
+    return F.when((compound & marked) | named, F.lit(CONTENT_TYPE)).otherwise(F.lit("application/octet-stream"))
 
 
 def register(spark: SparkSession) -> None:
