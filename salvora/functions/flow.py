@@ -72,9 +72,14 @@ def unnamed_prologue(data: bytes, s: str) -> str | None:
     return text if text.strip(" \u3000") and re.fullmatch(f"[{w.VISIBLE}]+", text) else None
 
 
+def magic_words(data: bytes) -> list[int]:
+    """Where the body's mark begins at a whole word, counted in words, with another word behind it."""
+    return [m.start() // 2 for m in re.finditer(re.escape(w.BODY_MAGIC), data) if m.start() % 2 == 0 and m.end() + 2 <= len(data)]
+
+
 def events(data: bytes) -> list[Event]:
     """The events of all streams in data, one after another; numbering begins anew in each."""
-    starts = [m.start() for m in re.finditer(re.escape(w.BODY_MAGIC), data) if m.start() % 2 == 0 and m.end() + 2 <= len(data)]
+    starts = [2 * at for at in magic_words(data)]
     if len(starts) < 2:
         return _events(data)
     parts = (data[a:b] for a, b in zip(starts, [*starts[1:], len(data)]))

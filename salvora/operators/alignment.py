@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from salvora.functions.page_grid import Rule, page_tables
+from salvora.functions.page_grid import Rule, page_tables, pipe
 from salvora.functions.scrape import anchor, tables
 
 SHEET_WORD = "シート"
@@ -83,16 +85,33 @@ def table_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
 GRID = "pages array<struct<page:int, rules:array<struct<axis:string,at:double,low:double,high:double>>, spans:array<struct<x:double,y:double,text:string>>>>"
 
 
-def page_cells(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, table_idx, row, col, rowspan, colspan, text) of ruled pages: (doc_id, page, rules, spans), as read from JSON with the schema GRID."""
+def _from_pages(pages: DataFrame, schema: str, rows: Callable[[list, list], Iterable[tuple]]) -> DataFrame:
+    """(doc_id, page, *schema) of ruled pages (doc_id, page, rules, spans), as read from JSON with the schema GRID; rows makes them from tables and loose texts."""
+    kinds = _parse_datatype_string(f"doc_id string, page int, {schema}")
+    arrow = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():
-                found, _ = page_tables([Rule(**x) for x in r["rules"] or []], [(s["x"], s["y"], s["text"]) for s in r["spans"] or []])
-                out += [(r["doc_id"], r["page"], t, c.row, c.col, c.rowspan, c.colspan, c.text) for t, table in enumerate(found) for c in table]
+                made = page_tables([Rule(**x) for x in r["rules"] or []], [(s["x"], s["y"], s["text"]) for s in r["spans"] or []])
+                out += [(r["doc_id"], r["page"], *row) for row in rows(*made)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), *[pa.int32()] * 6, pa.string()))], names=["doc_id", "page", "table_idx", "row", "col", "rowspan", "colspan", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+
+    return pages.select("doc_id", "page", "rules", "spans").mapInArrow(run, kinds)
+
+
+def page_cells(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, table_idx, row, col, rowspan, colspan, text) of the cells of ruled pages."""
+    return _from_pages(pages, "table_idx int, row int, col int, rowspan int, colspan int, text string", lambda tables, _: [(t, c.row, c.col, c.rowspan, c.colspan, c.text) for t, table in enumerate(tables) for c in table])
+
+
+def page_loose(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, text) of the spans that no cell took."""
+    return _from_pages(pages, "text string", lambda _, loose: [(text,) for text in loose])
+
 
-    return pages.select("doc_id", "page", "rules", "spans").mapInArrow(run, "doc_id string, page int, table_idx int, row int, col int, rowspan int, colspan int, text string")
+def page_pipes(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, table_idx, pipe): the tables of ruled pages as pipe tables."""
+    return _from_pages(pages, "table_idx int, pipe string", lambda tables, _: [(t, pipe(table)) for t, table in enumerate(tables)])

@@ -116,6 +116,16 @@ def salvaged_lines(text: Column) -> Column:
     return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
 
 
+def count_visible(text: Column) -> Column:
+    """Characters that body text shows: CJK, full-width and ASCII."""
+    return F.length(F.regexp_replace(text, r"[^\x{3000}-\x{9FFF}\x{FF01}-\x{FF5E}\x20-\x7E]+", "")).cast("bigint")
+
+
+def count_controls(text: Column) -> Column:
+    """Controls that end a run of text: all but tabs and line ends."""
+    return F.length(F.regexp_replace(text, r"[^\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]+", "")).cast("bigint")
+
+
 def category_folder(name: str, corpus: str, root: str, exists: Callable[[str], bool]) -> str | None:
     """The first folder that exists of a category's path: as it is, below the corpus, below the root, below the root's parent."""
     import posixpath
@@ -191,6 +201,12 @@ def combined_text(sheets: DataFrame, key: str, order: str, name: Column, text: C
     return sheets.groupBy(key).agg(F.array_join(F.transform(gathered, lambda s: s["t"]), "\n\n").alias(out))
 
 
+def nested(rows: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
+    """(key, out, n): the values of each key in order, as an array, and how many they are."""
+    gathered = F.sort_array(F.collect_list(F.struct(order, value)))
+    return rows.groupBy(key).agg(F.transform(gathered, lambda r: r[value]).alias(out), F.count("*").alias("n"))
+
+
 def first_magic(text: Column, marks: tuple, window: int = 512) -> Column:
     """The first label of marks (label, bytes) found in a window, by priority; EMPTY, METAFILE at the start, else UNKNOWN."""
     head = F.substring(text, 1, window)

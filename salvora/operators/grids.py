@@ -102,6 +102,11 @@ def unassigned(spans: DataFrame, assigned: DataFrame) -> DataFrame:
     return spans.join(assigned.filter("cell_id is not null"), ["page", "span_id"], "left_anti")
 
 
+def numbers_columns(cells: Column, least: int = 8, words: int = 2) -> Column:
+    """Whether a row, array<string> of its cells, numbers the columns: it has many cells, and at most two of them have text without a digit."""
+    return (F.size(cells) >= least) & (F.size(F.filter(cells, lambda c: F.regexp_like(c, F.lit(r"^[^0-9]+$")))) <= words)
+
+
 def touching(cells: DataFrame, slack: float = SNAP) -> DataFrame:
     """(src, dst) of cells of one page that share an edge: apart on one axis by no more than slack, and overlapping on the other. connected_components of these edges are the tables."""
     a, b = cells.alias("a"), cells.alias("b")

@@ -5,37 +5,23 @@ Every query runs an operator of the engine over whole tables; the SQL says the s
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salvora.operators import corpus, flow_relational, grids, streams
-from salvora.plans import samples
+from salvora.plans import byte_catalog, harness_catalog, page_catalog, samples  # noqa: F401  the other parts register their queries
+from salvora.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from salvora.session import load
 from salvora.sources import documents
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 # ------------------------------------------------------------------ corpus analytics
 
-_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&#[0-9]+;', '', 'g'), '\\-[0-9]+\\-', '', 'g'), '\*\*', '', 'g'), '[\s\x{{00A0}}\x{{3000}}\x{{0000}}-\x{{001F}}\x{{007F}}-\x{{009F}}\x{{2500}}-\x{{259F}}]+', '', 'g')"
-_PLAIN = r"regexp_replace({}, '[\s\x{{00A0}}\x{{3000}}\x{{0000}}-\x{{001F}}\x{{007F}}-\x{{009F}}\x{{2500}}-\x{{259F}}]+', '', 'g')"
+_IGNORED = r"[\s\x{{3000}}\x{{0000}}-\x{{001f}}\x{{007f}}-\x{{009f}}\x{{200b}}\x{{00a0}}\x{{2500}}-\x{{259f}}]"
+_NORMAL = r"regexp_replace(replace(regexp_replace(regexp_replace({}, '&#[0-9]+;', '', 'g'), '\\+[-–—][0-9]+\\+[-–—]', '', 'g'), '**', ''), '" + _IGNORED + "', '', 'g')"
+_PLAIN = "regexp_replace({}, '" + _IGNORED + "', '', 'g')"
 _PAIRS = f"""
 p AS (SELECT d.doc_id, d.lang, {_NORMAL.format('b.text')} AS truth, {_PLAIN.format('d.text')} AS made
-      FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+      FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id),
 a AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(truth, '')) AS ch FROM p) WHERE ch <> '' GROUP BY ALL),
 m AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(made, '')) AS ch FROM p) WHERE ch <> '' GROUP BY ALL),
 c AS (SELECT doc_id, sum(a.n) AS total, sum(least(a.n, coalesce(m.n, 0))) AS shared FROM a LEFT JOIN m USING (doc_id, ch) GROUP BY doc_id),
@@ -44,8 +30,10 @@ s AS (SELECT p.doc_id, p.lang, CASE WHEN total IS NULL THEN 1.0 ELSE CAST(shared
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with one of all benchmark items, in turn."""
     docs, bench = load(spark, d, "documents"), load(spark, d, "benchmark")
-    return docs.join(bench.select("item_id", F.col("text").alias("truth")), F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", "lang", "truth", F.col("text").alias("made"))
+    items = max(1, bench.count())
+    return docs.join(bench.select("item_id", F.col("text").alias("truth")), F.col("doc_id") % items == F.col("item_id")).select("doc_id", "lang", "truth", F.col("text").alias("made"))
 
 
 @query(f"WITH {_PAIRS} SELECT doc_id, lang, round(coverage, 9) AS coverage, coverage >= 0.95 AS passed FROM s")
@@ -119,29 +107,6 @@ def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
     return corpus.manifest_diff(old, new, "doc_id", "digest")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def sheet_missing(spark: SparkSession, d: str) -> DataFrame:
-    """Q3: rows without a counterpart."""
-    return load(spark, d, "documents").join(load(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
-
-
-@query(
-    """WITH p AS (SELECT d.source, d.doc_id, e.doc_id AS export_id FROM documents d JOIN documents e
-    ON d.source = e.source AND e.lang = 'fr' AND d.lang = 'en' AND (e.doc_id = d.doc_id + 20 OR starts_with(CAST(e.doc_id AS VARCHAR), CAST(d.doc_id AS VARCHAR) || '0')))
-    SELECT * FROM p"""
-)
-def pairing(spark: SparkSession, d: str) -> DataFrame:
-    """Q1: documents and exports of one folder, paired by name or prefix."""
-    docs = load(spark, d, "documents")
-    left = docs.filter("lang = 'en'").select("source", "doc_id")
-    right = docs.filter("lang = 'fr'").select("source", F.col("doc_id").alias("export_id"))
-    by_name = left.join(right, (left.source == right.source) & (right.export_id == left.doc_id + 20)).select(left.source, "doc_id", "export_id")
-    # a prefix is one of few beginnings of the longer name: an equi-join instead of comparing all of a folder
-    heads = right.withColumn("name", F.col("export_id").cast("string")).withColumn("at", F.explode(F.filter(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring("name", i + 1, F.lit(1)) == "0"))).withColumn("head", F.expr("substring(name, 1, at)"))
-    by_prefix = left.join(heads, (left.source == heads.source) & (left.doc_id.cast("string") == heads["head"])).select(left.source, "doc_id", "export_id")
-    return by_name.unionByName(by_prefix).distinct()
-
-
 # ------------------------------------------------------------------ streams as relations
 
 
@@ -321,16 +286,6 @@ def pipe_rows(spark: SparkSession, d: str) -> DataFrame:
     return corpus.pipe_table(load(spark, d, "lineitem"), "l_orderkey", "l_linenumber", [F.col("l_linenumber").cast("string"), F.col("l_returnflag")], "pipe")
 
 
-@query(
-    """WITH x AS (SELECT l_orderkey AS tbl, list(CAST(l_quantity AS INTEGER) ORDER BY l_linenumber, l_quantity) AS w FROM lineitem GROUP BY l_orderkey)
-    SELECT tbl, w[len(w) // 2 + 1] AS width FROM x WHERE len(w) >= 3"""
-)
-def band_widths(spark: SparkSession, d: str) -> DataFrame:
-    """Q14: the width of the middle span of rows with at least three."""
-    rows = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("tbl")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("w")))).alias("spans"))
-    return grids.band_widths(rows)
-
-
 @query(
     """WITH x AS (SELECT page_id, list_aggregate(list_sort(regexp_extract_all(html, '<([a-z0-9]+)', 1)), 'string_agg', ',') AS f FROM pages)
     SELECT page_id, min(page_id) OVER (PARTITION BY f) AS class_id FROM x"""
@@ -340,25 +295,12 @@ def skeleton_classes(spark: SparkSession, d: str) -> DataFrame:
     return corpus.same_skeleton(load(spark, d, "pages"), "page_id", "html")
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(url, '[.](html?|xml)$') AND instr(html, '<!DOCTYPE') > 0 THEN 'text/html' WHEN instr(html, '<html') > 0 THEN 'application/xhtml' ELSE 'application/octet-stream' END AS type FROM pages")
-def sniffed_type(spark: SparkSession, d: str) -> DataFrame:
-    """type by name and by magic."""
-    html = F.col("html")
-    return load(spark, d, "pages").select("page_id", F.when(F.col("url").rlike("[.](html?|xml)$") & (F.instr(html, "<!DOCTYPE") > 0), "text/html").when(F.instr(html, "<html") > 0, "application/xhtml").otherwise("application/octet-stream").alias("type"))
-
-
 @query("SELECT source AS category FROM documents GROUP BY source HAVING bool_or(lang = 'en') AND bool_or(lang = 'de')")
 def category_discovery(spark: SparkSession, d: str) -> DataFrame:
     """Folders that hold both kinds of files."""
     return corpus.discover_categories(load(spark, d, "documents"), F.col("source"), F.col("lang") == "en", F.col("lang") == "de")
 
 
-@query("SELECT user_id, list(event_type ORDER BY event_id) AS path, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id")
-def event_paths(spark: SparkSession, d: str) -> DataFrame:
-    """M8: the events of a document in order, nested."""
-    return load(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda e: e["event_type"]).alias("path"), F.count("*").alias("n"))
-
-
 # ------------------------------------------------------------------ bytes
 
 

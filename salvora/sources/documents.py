@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from salvora.functions import embedded, flow, words
+from salvora.functions import embedded, flow, render, words
 from salvora.functions.document import BODY, DAMAGE, detect_format, read_document
+from salvora.functions.errors import DocumentError
 from salvora.functions.limits import Limits
+from salvora.functions.streams import sheets
 from salvora.functions.tables import assemble
 from salvora.sources.compound import CompoundFile
 
@@ -44,6 +46,12 @@ def within_limit(found: DataFrame, limits: Limits | None = None) -> tuple[DataFr
     return files, rejected
 
 
+def exceeded(packed: Column, original: Column, limits: Limits | None = None) -> Column:
+    """The first limit that a member's sizes go beyond, null if none."""
+    lim = limits or Limits()
+    return F.when(original > lim.member_bytes, "LH5 decompressed bytes").when(original > F.greatest(F.lit(lim.ratio_floor), packed * lim.ratio), "LH5 expansion ratio output")
+
+
 def with_suffix(paths: DataFrame, suffixes: tuple = SUFFIXES) -> DataFrame:
     """Rows whose path ends with one of the suffixes, in small letters as they are."""
     return paths.filter(F.regexp_like("path", F.lit(rf"\.(?:{'|'.join(suffixes)})$")))
@@ -133,6 +141,33 @@ def cells(bodies: DataFrame) -> DataFrame:
     return _decoded(bodies, CELLS, rows, 4096)
 
 
+def rendered(bodies: DataFrame) -> DataFrame:
+    """(doc_id, xhtml, markdown, plain) of the blocks of body streams."""
+
+    def rows(_: str, data: bytes) -> list[tuple]:
+        blocks = assemble(flow.events(data))
+        return [(render.xhtml(blocks), render.markdown(blocks), render.plain(blocks))]
+
+    return _decoded(bodies, "doc_id string, xhtml string, markdown string, plain string", rows)
+
+
+def marker_offsets(files: DataFrame) -> DataFrame:
+    """(doc_id, every, words): where the body's mark is in the bytes, at any place, and counted in words at whole ones with words behind it."""
+    return _decoded(files, "doc_id string, every array<int>, words array<int>", lambda _, data: [(words.magic_offsets(data), flow.magic_words(data))])
+
+
+def sheet_items(files: DataFrame) -> DataFrame:
+    """(doc_id, idx, name, storage_path, original_path, body_path, notes_path) of the sheets of each file, the root first; a damaged file has none."""
+
+    def rows(_: str, data: bytes) -> list[tuple]:
+        try:
+            return [(s.index, s.name, s.storage, s.original, s.body, s.notes) for s in sheets(CompoundFile(data).read)]
+        except (*DAMAGE, DocumentError):
+            return []
+
+    return _decoded(files, "doc_id string, idx int, name string, storage_path string, original_path string, body_path string, notes_path string", rows)
+
+
 def objects(files: DataFrame) -> DataFrame:
     def rows(_: str, data: bytes) -> list[tuple]:
         try:
