@@ -26,11 +26,11 @@ def slots(cells: DataFrame) -> DataFrame:
 
 
 def padding(cells: DataFrame) -> DataFrame:
-    """(tbl, row_idx, slot) of the slots that no cell of the row covers. Rows and slots of a table meet where its cells already are."""
+    """(tbl, row_idx, slot) of the slots that no cell of the row covers. One shuffle; a row looks at its own cells only."""
     dealt = cells.select("tbl", "row_idx", "lft", "rgt").repartition("tbl")
-    rows = dealt.groupBy("tbl", "row_idx").agg(F.collect_list(F.struct("lft", "rgt")).alias("own"))
+    rows = dealt.withColumn("grid", F.collect_set("lft").over(Window.partitionBy("tbl"))).groupBy("tbl", "row_idx").agg(F.collect_list(F.struct("lft", "rgt")).alias("own"), F.first("grid").alias("grid"))
     free = F.filter("grid", lambda g: ~F.exists("own", lambda c: (c["lft"] <= g) & (g <= c["rgt"])))
-    return rows.join(slots(dealt), "tbl").select("tbl", "row_idx", F.explode(free).alias("slot"))
+    return rows.select("tbl", "row_idx", F.explode(free).alias("slot"))
 
 
 def colspans(cells: DataFrame) -> DataFrame:
