@@ -132,14 +132,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from labels (doc_id, toxic) of docs (doc_id, text) that are not held out; of rows that share an id the largest label counts.
+    """Learn from labels (doc_id, toxic) of docs (doc_id, text) that are not held out; of rows that share an id the largest label counts, and of documents that share one the text
+    with the least hash, so that no more than `sample` texts are learned from.
 
-    Without labelled rows of both kinds the model gives the share of toxic rows, or 0 without any.
+    Texts are read whole, null as empty; columns of other names play no part. Without labelled rows of both kinds the model gives the share of toxic rows, or 0 without any.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     drawn = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample)
     drawn = drawn.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), (F.pmod("h", F.lit(2)) == 0).alias("teaches_words"))
-    rows = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id"))  # at most `sample` rows
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
+    rows = cut(labelled.groupBy("doc_id", "toxic", "teaches_words").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))  # at most `sample` rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()

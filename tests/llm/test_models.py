@@ -65,6 +65,67 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == df.columns and kept.count() == sum(r.predicted == 0 for r in got)
 
 
+def slow_features(text, lexicon):
+    """The features by their definitions, word for word."""
+    text = text or ""
+    words = text.split()
+    weights, hidden, near, masked, shouted, distinct = [], 0, 0, 0, 0, set()
+    fold = lambda w: re.sub(r"(.)\1+", r"\1", "".join(c for c in w.lower().translate(toxicity.LEET) if c in "abcdefghijklmnopqrstuvwxyzœß" or "à" <= c <= "ö" or "ø" <= c <= "ÿ"))
+    folded = {}
+    for w, x in lexicon.items():
+        folded[fold(w)] = max(x, folded.get(fold(w), 0))
+    you = [i for i, w in enumerate(words) if toxicity.plain(w) in toxicity.SECOND_PERSON]
+    for i, word in enumerate(words):
+        core = toxicity.plain(word)
+        odd = not core.isalpha() and any(c.isalpha() for c in core)
+        weight = max([lexicon.get(core, 0)] + [lexicon.get(core[:k] + "*", 0) for k in (3, 4, 5, 6) if len(core) > k]) if core else 0
+        behind = not weight and (odd or any(a == b for a, b in zip(core, core[1:]))) and fold(core) and folded.get(fold(core), 0)
+        if weight or behind:
+            weights.append(weight or behind)
+            hidden += bool(behind)
+            distinct.add(core)
+            near += any(abs(i - j) <= toxicity.NEAR for j in you)
+        masked += odd
+        shouted += len(core) > 1 and word.isupper()
+    n, size = max(1, len(words)), max(1, len(text))
+    capitals = sum("A" <= c <= "Z" or "À" <= c <= "Ö" or "Ø" <= c <= "Þ" for c in text)
+    runs = sum(text.count(r) for r in ("!!", "??", "***", "###", "$$$"))
+    share = lambda x, of: 100 * x / of
+    return [len(weights), share(len(weights), n), len(distinct), max(weights, default=0), share(sum(weights), n), hidden, near, share(len(you), n), capitals / size, shouted / n, share(text.count("!"), size), share(text.count("?"), size), sum(text.count(c) for c in "!?#$%&*@.,;:-_~^") / size, masked / n, share(runs, n), math.log(1 + len(words))]
+
+
+def slow_score(text, model):
+    """A document's score, tree by tree and step by step."""
+    x, margin = slow_features(text, model.lexicon), model.trees.base
+    for tree in model.trees.trees:
+        at = 0
+        while tree.feature[at] >= 0:
+            at = tree.right[at] if x[tree.feature[at]] > tree.threshold[at] else tree.left[at]
+        margin += model.trees.rate * tree.value[at]
+    steps = list(zip(model.calibration.at, model.calibration.value))
+    if margin <= steps[0][0]:
+        return steps[0][1]
+    for (a, u), (b, v) in zip(steps, steps[1:]):
+        if margin <= b:
+            return v if a == b else u + (v - u) * (margin - a) / (b - a)
+    return steps[-1][1]
+
+
+def test_toxicity_matches_brute_force(spark):
+    docs, labels = toxic_docs(500, seed=8)
+    odd = ["", None, "ZORGLE!!! you", "z0rgle z0rgle you ??", "you " * 7 + "zorgle", "Ünter 1di0t*** $$$ !!", "zoorgle", "x" * 60_000, "zorgle you " * 20_000]
+    rows = [(i, t) for i, t, *_ in docs] + [(1000 + i, t) for i, t in enumerate(odd)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(df, lab)
+    assert len(model.trees.trees) > 10
+    want = {i: slow_score(t, model) for i, t in rows}
+    got = {r.doc_id: r.score for r in toxicity.op2_toxicity(df, lab).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
+    again = toxicity.fit(df.union(df).union(spark.createDataFrame([(labels[0][0], "another text of the same id")], "doc_id bigint, text string")), lab)
+    assert len(again.trees.trees) == len(model.trees.trees)
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "x", None, None, None)], DOCS)
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
