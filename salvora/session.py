@@ -52,3 +52,9 @@ def cut(df: DataFrame) -> DataFrame:
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is; one that is not there is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
