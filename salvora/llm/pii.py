@@ -1,7 +1,8 @@
 """Personal data: exact formats, and information-theoretic sanitisation of the terms about them.
 
 Spans of e-mail addresses, IP addresses, card and phone numbers are protected entities. Words about an entity may give it away: over the
-whole corpus, df counts the documents of every word and of every entity, and n those that have both, wherever they stand.
+whole corpus, df counts the documents of every word and of every entity, and n those that have both, wherever they stand. A word is a run of
+three or more letters with no letter or digit about it; n and what is sanitised leave out words inside entities.
 What a word discloses of an entity is their pointwise mutual information as a share of the entity's information content,
 log2(n * N / (df_word * df_entity)) / log2(N / df_entity): 1 if the entity stands wherever the word does. Words that share at least two documents
 with an entity and disclose more than a threshold of it are generalised or, above a higher one, removed, wherever they stand in a document with that entity.
@@ -18,8 +19,8 @@ from salvora.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
-#: Code points on either side of an entity in which words count: all of a document.
-REACH = 1 << 60
+#: Matches of a block, and slots of word hashes, of which those in use are broadcast.
+BLOCK, TERM_SLOTS = 128, 1 << 20
 #: Documents that a word and an entity share at least, and shares of an entity's information from which a word is generalised or removed.
 SUPPORT, GENERALISE, REMOVE = 2, 0.7, 0.9
 
@@ -33,13 +34,16 @@ _PATTERN = {
 # What a text must have for a match of the kind: spares the others the longer pattern.
 _HINT = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 _TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
-_WORD = r"\p{L}{3,}+"
 _SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the pattern's matches, in code points from 0, end exclusive."""
+    """array<struct<start, end, value>> of the pattern's matches, in code points from 0, end exclusive.
+
+    An array grows by copying, so matches are gathered in blocks and these put together: of n matches some n * n / BLOCK are copied.
+    """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    empty = lambda: F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -47,7 +51,16 @@ def located(text: Column, pattern: str) -> Column:
         hit = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.when(x["hit"].isNotNull(), hit).otherwise(F.array().cast(_SPAN))).alias("spans"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans")), step, lambda acc: acc["spans"])
+    def joined(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["value"].alias("value")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
+
+    def whole(p: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(p), F.lit(BLOCK))
+        blocks = F.transform(firsts, lambda first: F.aggregate(F.slice(p, first, F.lit(BLOCK)), empty(), step))
+        return F.aggregate(blocks, empty(), joined, lambda acc: acc["spans"])
+
+    return F.transform(F.array(pairs), whole)[0]  # names the pairs, which a lambda would else find anew for each block
 
 
 def luhn(digits: Column) -> Column:
@@ -107,7 +120,10 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
     places = cut(_words_of(shared))
     pairs = held.join(places.select("row", "term").distinct(), "row").groupBy("entity", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
     pairs = cut(pairs)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+    # document counts only of words that stand with an entity: a filter of a fixed number of slots goes out first
+    slot = F.pmod(F.xxhash64("term"), F.lit(TERM_SLOTS))
+    own = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
+    words = docs.select(F.explode(own).alias("term")).withColumn("slot", slot).join(F.broadcast(pairs.select(slot.alias("slot")).distinct()), "slot", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
     known = words.join(pairs, "term").join(entities, "entity")
     n = F.lit(float(total))
     mutual, content = F.log2(F.col("n") * n / (F.col("df_term") * F.col("df_entity"))), F.log2(n / F.col("df_entity"))
