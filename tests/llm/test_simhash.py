@@ -5,6 +5,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from salvora.llm import simhash
+from salvora.llm.cells import links_in_cells
+from salvora.operators.components import connected_components
 
 
 def slow_fingerprint(text):
@@ -42,8 +44,8 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("limit", [64, 2])
-def test_links_and_star_match_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "radius"), [(64, 2), (2, 2), (64, 0), (3, 1), (3, 4)])
+def test_links_match_brute_force(spark, limit, radius):
     rng = random.Random(5)
     fps = {rng.getrandbits(64) for _ in range(60)} | {0, (1 << 64) - 1, 1 << 63}
     for f in list(fps)[:25]:
@@ -53,11 +55,9 @@ def test_links_and_star_match_brute_force(spark, limit):
             fps.add(f)
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp bigint"), cell_limit=limit)
-    from salvora.operators.components import connected_components
-
+    edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp bigint"), radius, cell_limit=limit)
     got = {r.node: r.component for r in connected_components(edges).collect()}
-    want = slow_components(fps)
+    want = slow_components(fps, radius)
     classes = {}
     for s, w in zip(signed, want):
         classes.setdefault(w, set()).add(s)
@@ -68,6 +68,24 @@ def test_links_and_star_match_brute_force(spark, limit):
             assert {got[m] for m in members} == {min(members)}
 
 
+@pytest.mark.parametrize(("hubs", "crowd"), [(1, 64), (3, 1000)])
+def test_cells_compare_what_hubs_do_not_connect(spark, hubs, crowd):
+    """Numbers of one cell within 3 of each other: chains that no hub covers, in blocks of a few members."""
+    rng = random.Random(2)
+    values = sorted(rng.sample(range(1, 400), 130))
+    rows = [(c, v, 2 * v) for c in ("x", "y") for v in values if c == "x" or v % 3]
+    judge = lambda pairs: pairs.filter("abs(dst - src) <= 3")
+    near = lambda a, b: F.abs(F.col(f"{a}w") - F.col(f"{b}w")) <= 8
+    sift = lambda pairs: pairs.withColumn("far", F.abs(F.col("dst") - F.col("src"))).filter("far <= 5")
+    edges = links_in_cells(spark.createDataFrame(rows, "cell string, key bigint, w int"), ["w"], near, sift, judge, hubs=hubs, block=7, crowd=crowd)
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    want, at = {}, None
+    for a, b in zip([None, *values], values):
+        at = at if a is not None and b - a <= 3 else b
+        want[b] = at
+    assert {v: got.get(v, v) for v in values} == want
+
+
 def test_edge_rows(spark):
     rows = [(5, None), (9, ""), (5, None), (None, "lone words of one row here"), (3, "copy of a text that is here"), (2, "copy of a text that is here")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("component_id", F.lit("clash")).withColumn("fp", F.lit(1.5))
@@ -84,8 +102,9 @@ def slow_sets(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
 
 
-@pytest.mark.parametrize("limit", [64, 2])
-def test_near_copies_match_brute_force(spark, limit):
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_near_copies_match_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "links_in_cells", lambda *a, **k: links_in_cells(*a, **k, crowd=crowd))
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     texts = ["", " ", "one two", "one two", "one two three", "a b c d e f g h i", "a b c d e f g h"]
@@ -112,6 +131,24 @@ def test_near_copies_match_brute_force(spark, limit):
     for r, i in zip(root, ids):
         least[r] = min(i, least.get(r, i))
     df = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").repartition(5)
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(df, cell_limit=limit).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
     assert got == {i: least[r] for r, i in zip(root, ids)}
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(least.values())
+
+
+def test_keep_one_goes_by_rows(spark):
+    """Rows that share a doc_id are judged by their own texts; a row that recurs stays once; columns of any name stay."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (9, b, 4), (7, c, 5), (7, c, 5), (None, a, 6), (None, a, 7), (11, None, 8), (12, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n int").withColumn("__keep", F.lit("x")).withColumn("keep_id", F.lit("y")).withColumn("t", F.lit("z"))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text, r.n) for r in kept.collect()) == sorted([(3, a, 1), (5, b, 3), (7, c, 5), (0, a, 6), (0, a, 7), (11, None, 8)])
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i * i % 7919}" for i in range(150_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "x " * 100_000), (4, "short one")], "doc_id bigint, text string")
+    assert {r.doc_id: r.fingerprint for r in simhash.op1_simhash(df).collect()}[3] == f"{slow_fingerprint('x x x x x'):016x}"
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [1, 3, 4]
