@@ -16,7 +16,7 @@ from salvora.operators.components import connected_components
 from salvora.session import cut
 
 #: Hubs of a cell, members of a block, and of a cell from which on more is known of its members before pairs are made.
-HUBS, BLOCK, CROWD = 2, 1024, 64
+HUBS, BLOCK, CROWD = 1, 1024, 64
 
 
 def _open(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -200,19 +200,13 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _short(hashes: np.ndarray) -> int:
-    """Parities of the shingles in 64 places, as a signed number: what a sketch is, for sets of few shingles, small enough to go into every cell."""
-    bits = np.packbits(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.uint8) & 1)
-    return int(bits.view("<i8")[0])
-
-
 def _sketch(hashes: np.ndarray) -> bytes:
     """Parities of the shingles in SKETCH_BITS places: two sketches differ in no more bits than their sets in shingles."""
     return np.packbits(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
 
 
 def _shared(marks: DataFrame) -> DataFrame:
-    """(cell, key, size, short, i) of the shingles in the prefixes of several sets; marks: (key, size, short, prefix), where a key may recur."""
+    """(cell, key, size, i) of the shingles in the prefixes of several sets; marks: (key, size, prefix), where a key may recur."""
     ends = marks.select("key", F.explode("prefix").alias("cell")).groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     several = cut(ends.filter("lo <> hi").select("cell"))
     # most shingles are of one set only: a bit for each slot of those of several, of a fixed number, spares them the shuffle. The bits come packed, a few kilobytes a row
@@ -232,30 +226,29 @@ def _shared(marks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends, cells = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy(zero_copy_only=False)
+            ends, cells = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(zero_copy_only=False)
             cells = cells[ends[0] : ends[-1]]
             row = np.repeat(np.arange(len(batch)), np.diff(ends))
             at = cells % CELL_SLOTS
             some = np.flatnonzero(held[at >> 3] >> (at & 7).astype(np.uint8) & 1)
             row, i = row[some], some - (ends[:-1] - ends[0])[row[some]]
-            yield pa.RecordBatch.from_arrays([pa.array(cells[some]), *(batch.column(c).take(pa.array(row)) for c in range(3)), pa.array(i.astype(np.int32))], names=["cell", "key", "size", "short", "i"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells[some]), *(batch.column(c).take(pa.array(row)) for c in range(2)), pa.array(i.astype(np.int32))], names=["cell", "key", "size", "i"])
 
-    likely = marks.select("key", "size", "short", "prefix").mapInArrow(run, "cell bigint, key bigint, size int, short bigint, i int")
+    likely = marks.select("key", "size", "prefix").mapInArrow(run, "cell bigint, key bigint, size int, i int")
     return likely.join(several, "cell").dropDuplicates(["cell", "key"])
 
 
 def similar_links(marks: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
     """Edges (src, dst) between keys of sets: pairs of the similarity or more, and only those, are connected by them.
 
-    marks: (key, size, short, prefix), where a set may recur; sets: (key, doc_id, t, size, sketch), each once, with the row of texts (doc_id, t, text) that has it.
+    marks: (key, size, prefix), where a set may recur; sets: (key, doc_id, t, size, sketch), each once, with the row of texts (doc_id, t, text) that has it.
     """
     members = cut(_shared(marks))
     share = similarity / (1 + similarity)
     # after the first shingle that two sets share, no more can follow than the shorter rest has
     most = lambda a, b: F.least(F.col(f"{a}size") - F.col(f"{a}i"), F.col(f"{b}size") - F.col(f"{b}i"))
     both = lambda a, b: F.col(f"{a}size") + F.col(f"{b}size")
-    apart = lambda a, b: F.bit_count(F.col(f"{a}short").bitwiseXOR(F.col(f"{b}short")))
-    near = lambda a, b: (most(a, b) >= share * both(a, b) - 1e-9) & (apart(a, b) <= (1 - similarity) / (1 + similarity) * both(a, b) + 1e-6)
+    near = lambda a, b: most(a, b) >= share * both(a, b) - 1e-9
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +292,7 @@ def similar_links(marks: DataFrame, sets: DataFrame, texts: DataFrame, similarit
         met = named.select("src", "dst", "row_dst").join(cut(first), "src").join(some, own("dst")).select("src", "dst", "h", "text")
         return met.mapInArrow(verified, "src bigint, dst bigint").distinct()
 
-    return links_in_cells(members, ["size", "short", "i"], near, sift, judge, (sketched, closer))
+    return links_in_cells(members, ["size", "i"], near, sift, judge, (sketched, closer))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -313,19 +306,18 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, shorts, sketches, firsts = [], [], [], [], []
+            keys, sizes, sketches, firsts = [], [], [], []
             for x in batch.column(2):
                 h = np.unique(shingle_hashes(x.as_py(), words))
                 at = np.searchsorted(common, h)
                 n = np.where(common[np.minimum(at, len(common) - 1)] == h, often[np.minimum(at, len(common) - 1)], 0) if len(common) else np.zeros(len(h), dtype=np.int64)
                 keys.append(_set_key(h))
                 sizes.append(len(h))
-                shorts.append(_short(h))
                 sketches.append(_sketch(h))
                 firsts.append(h[np.argsort(n, kind="stable")][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(shorts, pa.int64()), pa.array(sketches, pa.binary()), _longs(firsts)], names=["doc_id", "t", "key", "size", "short", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), _longs(firsts)], names=["doc_id", "t", "key", "size", "sketch", "prefix"])
 
-    marks = cut(texts.mapInArrow(run, "doc_id bigint, t bigint, key bigint, size int, short bigint, sketch binary, prefix array<bigint>"))
+    marks = cut(texts.mapInArrow(run, "doc_id bigint, t bigint, key bigint, size int, sketch binary, prefix array<bigint>"))
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")  # rows with a doc_id come first
     firsts = cut(marks.groupBy("key").agg(F.min(lead).alias("lead")))
     own = firsts.select(F.col("key").alias("k"), "lead")
