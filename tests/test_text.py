@@ -27,6 +27,14 @@ def test_inline_shown_and_hidden():
     assert not [e for e in far if e.kind == "skipped"]
 
 
+def test_lengths_that_look_like_markers():
+    """A declared length of 31 words is 0x1F, that of 29 words 0x1D; neither is a part of the text."""
+    for n in range(1, 40):
+        text = "字" * n
+        got = w.elements(raw(w.words_of(enc("前置", para(), text)), 3))
+        assert "".join(e.text for e in got) == "前置" + text and not [e for e in got if e.kind == "boundary"]
+
+
 def test_numbering():
     heads = [(1, 1), (1, 2), (1, 3), (2, None), (2, None), (8, 1), (8, 2), (3, None), (4, None)]
     text = w.plain_text(body(*[[numbered(s, lv), "x", ADV] for s, lv in heads]))
