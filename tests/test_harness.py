@@ -9,6 +9,7 @@ from salvora.functions.page_grid import Rule, cluster, page_tables, pipe
 from salvora.functions.scrape import anchor, tables
 from salvora.operators import alignment, corpus, flow_relational, grids, streams
 from salvora.operators.components import connected_components
+from salvora.plans import harness_catalog
 from salvora.sources import sinks
 from salvora.streaming.ingest import ingest
 from tests.test_documents import PLAIN, WITH_TABLE
@@ -150,6 +151,15 @@ def test_numbers(spark):
     assert [r[0] for r in n.select(flow_relational.declared_spans(F.col("id"))).limit(9).collect()] == [None, None, None, 1, None, None, None, 2, None]
 
 
+def test_size_guards_round_prices(spark, tmp_path):
+    """Prices become whole numbers as in the SQL: the nearest, of two equally near ones the even one."""
+    rows = [(1, 262144.6), (2, 262144.4), (3, 262144.5), (4, 262145.5), (5, 65536.5), (6, 65536.51), (29_999, 119996.7), (29_999, 119996.2), (7, None)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [tuple(r) for r in harness_catalog.size_guards(spark, str(tmp_path)).collect()]
+    big, ratio = "LH5 decompressed bytes", "LH5 expansion ratio output"
+    assert sorted(got, key=str) == sorted([(1, big), (2, ratio), (3, ratio), (4, big), (5, None), (6, ratio), (29_999, ratio), (29_999, None), (7, None)], key=str)
+
+
 def test_sinks_and_stream(spark, tmp_path):
     page = spark.createDataFrame([("<html><head></head></html>",), ("<body>x",), ("<html>y",), ("z",)], "x string")
     assert [r[0] for r in page.select(sinks.styled(F.col("x"), "c")).collect()] == ["<html><head><style>c</style></head></html>", "<style>c</style><body>x", "<html><style>c</style>y", "<style>c</style>z"]
