@@ -11,9 +11,9 @@ fingerprints differ in at most two bits just if both lie within one bit of a com
 member is tied to the least member about each of its 65 words. That is linear in the members and keeps every component. For other radii crowded cells are cut finer: the axes that
 a cell leaves open form radius + 2 groups again, of which two agree; members that are connected already are not compared (see cells.py).
 
-Fingerprints of three words and two bits are the contract of op1. keep_one, which takes documents out of a corpus, goes by the sets of
-shingles themselves: five words, Jaccard similarity 0.8 or more, every such pair found (no radius of fingerprints gives that: pairs of 0.8 are
-some ten bits apart). Sets so similar share one of their first n - ceil(0.8 n) + 1 shingles in any one order of all
+Fingerprints of three words and two bits are the contract of op1. keep_one, which takes documents out of a corpus, links sets of five-word
+shingles at Jaccard similarity 0.8 or more. Their fingerprints meet on the same grid, and what is within the radius is verified on the sets. No radius of
+fingerprints has every pair of that similarity (those of 0.8 are some ten bits apart), so an exact join follows for what this leaves unconnected. Sets so similar share one of their first n - ceil(0.8 n) + 1 shingles in any one order of all
 shingles; shingles that are common in a sample come last, so that few sets meet by them. The order never decides what is found. Sets that meet in a
 cell are cut by the overlap that their places in it allow and by sketches, both of which only drop pairs that cannot be similar, and verified on the whole sets.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from salvora.llm.cells import links_in_cells
 from salvora.operators.components import connected_components
-from salvora.session import cut
+from salvora.session import cut, tidy
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -66,7 +66,11 @@ def shingle_hashes(text: str | None, words: int, seed: int = HASH_SEED) -> np.nd
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
     """The 64-bit SimHash of a whole text; 0 for null and for texts without words."""
-    hashes = shingle_hashes(text, words, seed)
+    return fingerprint_of(shingle_hashes(text, words, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of shingles; 0 for none."""
     if not len(hashes):
         return 0
     by_byte = hashes.view(np.uint8).reshape(-1, 8)
@@ -114,6 +118,13 @@ def grids(radius: int) -> list[tuple[int, list[int]]]:
     return out
 
 
+def _cells(fps: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Of fps (key, e, ...): (grid, cell, ...), the cells of the grids that each is in, and (grid, cell, n) of those with several."""
+    named = lambda grid, mask: F.xxhash64(F.lit(grid), F.lit(-1), F.col("e").bitwiseAND(_signed(mask)))
+    coarse = fps.select("*", F.posexplode(F.array(*(named(g, mask) for g, (mask, _) in enumerate(grids(radius))))).alias("grid", "cell"))
+    return coarse, cut(coarse.groupBy("grid", "cell").agg(F.count("*").alias("n")).filter("n > 1"))
+
+
 def links(fps: DataFrame, radius: int = RADIUS, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """Edges (src, dst) between the distinct values of fps.fp; those at most `radius` (0 to 30) bits apart, and only those, are connected by them.
 
@@ -126,8 +137,7 @@ def links(fps: DataFrame, radius: int = RADIUS, cell_limit: int = CELL_LIMIT) ->
     named = lambda grid, finer, mask: F.xxhash64(F.lit(grid), F.lit(finer), F.col("e").bitwiseAND(_signed(mask)))
     bits = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
     every = grids(radius)
-    coarse = fps.select("key", "e", F.posexplode(F.array(*(named(g, -1, mask) for g, (mask, _) in enumerate(every)))).alias("grid", "cell"))
-    shared = cut(coarse.groupBy("grid", "cell").agg(F.count("*").alias("n")).filter("n > 1"))
+    coarse, shared = _cells(fps, radius)
     thin = coarse.join(shared.filter(F.col("n") <= cell_limit).select("grid", "cell"), ["grid", "cell"])
     a, b = thin.alias("a"), thin.alias("b")
     near = (
@@ -193,8 +203,9 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([_longs([np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(0)])], names=["h"])
 
-    sample = texts.filter(F.pmod("t", F.lit(step)) == 0).dropDuplicates(["t"]).select("text").mapInArrow(run, "h array<bigint>")
-    seen = sample.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON_LIMIT).toPandas()
+    with tidy(texts.sparkSession):
+        sample = texts.filter(F.pmod("t", F.lit(step)) == 0).dropDuplicates(["t"]).select("text").mapInArrow(run, "h array<bigint>")
+        seen = sample.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON_LIMIT).toPandas()
     h, n = seen["h"].to_numpy(dtype="<i8").view("<u8"), seen["n"].to_numpy(dtype="<i8")
     order = np.argsort(h)
     return h[order], n[order]
@@ -219,7 +230,8 @@ def _shared(marks: DataFrame) -> DataFrame:
         return pa.table({"page": pa.array([int(slots[0]) // page], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     slot = F.pmod("cell", F.lit(CELL_SLOTS))
-    pages = several.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / page)).applyInArrow(packed, "page bigint, bits binary").collect()
+    with tidy(marks.sparkSession):
+        pages = several.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / page)).applyInArrow(packed, "page bigint, bits binary").collect()
     held = np.zeros(CELL_SLOTS // 8, dtype=np.uint8)
     for r in pages:
         held[r.page * (page // 8) : (r.page + 1) * (page // 8)] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
@@ -238,10 +250,11 @@ def _shared(marks: DataFrame) -> DataFrame:
     return likely.join(several, "cell").dropDuplicates(["cell", "key"])
 
 
-def similar_links(marks: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+def similar_links(marks: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float, words: int, radius: int = RADIUS) -> DataFrame:
     """Edges (src, dst) between keys of sets: pairs of the similarity or more, and only those, are connected by them.
 
-    marks: (key, size, prefix), where a set may recur; sets: (key, doc_id, t, size, sketch), each once, with the row of texts (doc_id, t, text) that has it.
+    marks: (key, size, prefix), where a set may recur; sets: (key, doc_id, t, size, fp, sketch), each once, with the row of texts (doc_id, t, text) that has it.
+    Links of fingerprints within the radius, by the grid join, come first; by prefixes come those that these leave.
     """
     members = cut(_shared(marks))
     share = similarity / (1 + similarity)
@@ -292,7 +305,11 @@ def similar_links(marks: DataFrame, sets: DataFrame, texts: DataFrame, similarit
         met = named.select("src", "dst", "row_dst").join(cut(first), "src").join(some, own("dst")).select("src", "dst", "h", "text")
         return met.mapInArrow(verified, "src bigint, dst bigint").distinct()
 
-    return links_in_cells(members, ["size", "i"], near, sift, judge, (sketched, closer))
+    coarse, shared = _cells(sets.select("key", "size", "fp", embed(F.col("fp")).alias("e")), radius)
+    bits = lambda a, b, c: F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) <= radius
+    within = lambda a, b: bits(a, b, "e") & bits(a, b, "fp") & (F.least(f"{a}size", f"{b}size") >= share * both(a, b) - 1e-9)
+    alike = links_in_cells(cut(coarse.join(shared, ["grid", "cell"]).select("cell", "key", "size", "fp", "e")), ["size", "fp", "e"], within, sift, judge, (sketched, closer))
+    return links_in_cells(members, ["size", "i"], near, sift, judge, (sketched, closer), known=cut(alike))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -306,22 +323,23 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, sketches, firsts = [], [], [], []
+            keys, sizes, prints, sketches, firsts = [], [], [], [], []
             for x in batch.column(2):
                 h = np.unique(shingle_hashes(x.as_py(), words))
                 at = np.searchsorted(common, h)
                 n = np.where(common[np.minimum(at, len(common) - 1)] == h, often[np.minimum(at, len(common) - 1)], 0) if len(common) else np.zeros(len(h), dtype=np.int64)
                 keys.append(_set_key(h))
                 sizes.append(len(h))
+                prints.append(fingerprint_of(h))
                 sketches.append(_sketch(h))
                 firsts.append(h[np.argsort(n, kind="stable")][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), _longs(firsts)], names=["doc_id", "t", "key", "size", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), _longs(firsts)], names=["doc_id", "t", "key", "size", "fp", "sketch", "prefix"])
 
-    marks = cut(texts.mapInArrow(run, "doc_id bigint, t bigint, key bigint, size int, sketch binary, prefix array<bigint>"))
+    marks = cut(texts.mapInArrow(run, "doc_id bigint, t bigint, key bigint, size int, fp bigint, sketch binary, prefix array<bigint>"))
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")  # rows with a doc_id come first
     firsts = cut(marks.groupBy("key").agg(F.min(lead).alias("lead")))
     own = firsts.select(F.col("key").alias("k"), "lead")
-    sets = cut(marks.join(own, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("t") == F.col("lead.t"))).select("key", "doc_id", "t", "size", "sketch").dropDuplicates(["key"]))
+    sets = cut(marks.join(own, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("t") == F.col("lead.t"))).select("key", "doc_id", "t", "size", "fp", "sketch").dropDuplicates(["key"]))
     comp = connected_components(similar_links(marks, sets, texts, similarity, words))
     named = firsts.select("key", "lead").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "lead", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("lead").alias("first"))

@@ -6,6 +6,8 @@ import atexit
 import re
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,10 +45,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run within leave no shuffle files behind; else these stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there: cuts lineage, computes once, survives lost executors."""
+    """Write df to the shared checkpoint folder and read it from there: cuts lineage, computes once, survives lost executors. Its shuffle files go with it."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

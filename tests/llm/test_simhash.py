@@ -1,5 +1,8 @@
 import random
+import time
+from pathlib import Path
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from salvora.llm import simhash
 from salvora.llm.cells import links_in_cells
 from salvora.operators.components import connected_components
+from salvora.session import cut
 
 
 def slow_fingerprint(text):
@@ -136,6 +140,52 @@ def test_near_copies_match_brute_force(spark, monkeypatch, crowd):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(least.values())
 
 
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """Without any cell of a shingle, the grid join of fingerprints still links what is within two bits and 0.8 alike, and nothing else."""
+    shared = simhash._shared
+    monkeypatch.setattr(simhash, "_shared", lambda marks: shared(marks).limit(0))
+    rng = random.Random(3)
+    words = [[f"w{rng.randrange(900)}" for _ in range(400)] for _ in range(12)]
+    texts = [" ".join(w[:k] + ["other"] * (k > 0) + w[k:]) for w in words for k in (0, 1, 90, 250, 399)] + ["", "one", "two"]
+    prints, sets = [simhash.fingerprint_of(np.unique(simhash.shingle_hashes(t, 5))) for t in texts], [slow_sets(t) for t in texts]
+    root = list(range(len(texts)))
+    for x in range(len(texts)):
+        for y in range(x):
+            if bin(prints[x] ^ prints[y]).count("1") <= 2 and len(sets[x] & sets[y]) * 5 >= len(sets[x] | sets[y]) * 4:
+                root = [root[y] if r == root[x] else r for r in root]
+    assert len(set(root)) <= len(texts) - 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert got == {i: root.index(r) for i, r in enumerate(root)}
+
+
+def test_known_links_are_not_judged_again(spark):
+    seen = []
+
+    def judge(pairs):
+        seen.extend(tuple(sorted((r.src, r.dst))) for r in pairs.collect())
+        return pairs.filter("abs(dst - src) <= 3")
+
+    rows = [("x", v) for v in (1, 2, 3, 10, 12, 30)] + [("y", v) for v in (1, 2, 3)]
+    known = spark.createDataFrame([(1, 2), (3, 2)], "src bigint, dst bigint")
+    near = lambda a, b: F.lit(True)
+    edges = links_in_cells(spark.createDataFrame(rows, "cell string, key bigint").withColumn("w", F.lit(0)), ["w"], near, lambda pairs: pairs.withColumn("far", F.abs(F.col("dst") - F.col("src"))), judge, known=known)
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 10, 12: 10}
+    assert not {(1, 2), (1, 3), (2, 3)} & set(seen)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    files = lambda: {p.name for p in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*")}
+    before = files()
+    some = cut(spark.range(5000).select((F.col("id") % 700).alias("k")).groupBy("k").count().repartition(3, "count"))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and some.count() == 700
+
+
 def test_keep_one_goes_by_rows(spark):
     """Rows that share a doc_id are judged by their own texts; a row that recurs stays once; columns of any name stay."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
